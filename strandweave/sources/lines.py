@@ -1,0 +1,29 @@
+"""Text lines with their number, counted without moving the text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, line_no, value)`` with 0-based line numbers per file.
+
+    Rows of one file block arrive in order within a task, so the number is the row's place
+    in its block plus the lines in earlier blocks. Only one row per block is accumulated,
+    and that table is joined back under the session's broadcast threshold.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
+    blocks = rows.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = blocks.select(
+        "file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    return rows.join(shift, ["file", "block"]).select(
+        "file", (F.col("seq") + F.col("shift")).alias("line_no"), "value"
+    )
