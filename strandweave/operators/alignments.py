@@ -108,36 +108,62 @@ def interval_depth(intervals: DataFrame) -> DataFrame:
     )
 
 
+def _stretches(steps: DataFrame, above: int) -> DataFrame:
+    """``(name, cov_start, cov_end)`` of every stretch with depth above ``above``."""
+    before = F.col("running") - F.col("delta")
+    rises = (before <= above) & (F.col("running") > above)
+    falls = (before > above) & (F.col("running") <= above)
+    # rises and falls alternate, so a stretch ends where the next crossing lies
+    stop = F.lead("pos").over(Window.partitionBy("name").orderBy("pos"))
+    return (
+        steps.filter(rises | falls)
+        .withColumn("cov_end", stop)
+        .filter(rises)
+        .select("name", F.col("pos").alias("cov_start"), "cov_end")
+    )
+
+
+def _longest() -> Column:
+    span = F.col("cov_end") - F.col("cov_start")
+    return F.max_by(
+        F.struct("cov_start", "cov_end"), F.when(span.isNotNull(), F.struct(span, -F.col("cov_start")))
+    )
+
+
 def covered_regions(intervals: DataFrame, above: int) -> DataFrame:
     """Longest stretch with depth strictly above ``above`` per name, and the maximum depth.
 
     The earliest of equally long stretches wins; names without one get (0, 0).
     """
+    return _regions(intervals, above).drop("length")
+
+
+def _regions(intervals: DataFrame, above: int, lengths: DataFrame | None = None) -> DataFrame:
+    """One aggregate over stretches, depths and stated lengths instead of joins by name."""
     steps = _depth_steps(intervals.filter("start < end"))
-    depth_before = F.col("running") - F.col("delta")
-    rises = (depth_before <= above) & (F.col("running") > above)
-    falls = (depth_before > above) & (F.col("running") <= above)
-    # rises and falls alternate, so a stretch ends where the next crossing lies
-    crossings = steps.filter(rises | falls).withColumn(
-        "stop", F.lead("pos").over(Window.partitionBy("name").orderBy("pos"))
+    facts = _stretches(steps, above).unionByName(
+        steps.select("name", F.col("running").alias("depth")), allowMissingColumns=True
     )
-    longest = (
-        crossings.filter(rises)
-        .groupBy("name")
-        .agg(
-            F.max_by(
-                F.struct(F.col("pos").alias("cov_start"), F.col("stop").alias("cov_end")),
-                F.struct(F.col("stop") - F.col("pos"), -F.col("pos")),
-            ).alias("r")
+    if lengths is None:
+        lengths = intervals.select("name").limit(0).withColumns(
+            {"length": F.lit(0).cast("bigint"), "line_no": F.lit(0).cast("bigint")}
         )
-    )
-    deepest = steps.groupBy("name").agg(F.max("running").alias("max_depth"))
+    facts = facts.unionByName(lengths, allowMissingColumns=True)
     zero = F.lit(0).cast("bigint")
-    return deepest.join(longest, "name", "left").select(
-        "name",
-        F.coalesce("r.cov_start", zero).alias("cov_start"),
-        F.coalesce("r.cov_end", zero).alias("cov_end"),
-        "max_depth",
+    return (
+        facts.groupBy("name")
+        .agg(
+            F.min_by("length", "line_no").alias("length"),
+            _longest().alias("r"),
+            F.max("depth").alias("max_depth"),
+        )
+        .select(
+            "name",
+            "length",
+            F.coalesce("r.cov_start", zero).alias("cov_start"),
+            F.coalesce("r.cov_end", zero).alias("cov_end"),
+            F.coalesce("max_depth", zero).alias("max_depth"),
+        )
     )
 
 
@@ -148,16 +174,9 @@ def intervals_of(passed: DataFrame) -> DataFrame:
 
 def regions(passed: DataFrame, params: Params) -> DataFrame:
     """``regions(name, length, cov_start, cov_end, max_depth)`` of every registered read."""
-    zero = F.lit(0).cast("bigint")
-    covered = covered_regions(intervals_of(passed), params.min_overlap_count)
-    return (
-        read_lengths(passed)
-        .join(covered, "name", "left")
-        .select(
-            "name",
-            "length",
-            F.coalesce("cov_start", zero).alias("cov_start"),
-            F.coalesce("cov_end", zero).alias("cov_end"),
-            F.coalesce("max_depth", zero).alias("max_depth"),
-        )
+    sides = _sides(passed)
+    return _regions(
+        sides.select("name", "start", "end"),
+        params.min_overlap_count,
+        sides.select("name", "length", "line_no"),
     )

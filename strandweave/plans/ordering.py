@@ -77,7 +77,8 @@ def prefix_sum(
     local = blocked.withColumn(
         "_local", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_next", F.lead(pos).over(inside))
-    per_block = blocked.groupBy(*keys, "_blk").agg(
+    # taken from the windowed rows, whose partitioning this aggregate can reuse
+    per_block = local.groupBy(*keys, "_blk").agg(
         F.sum(value).alias("_sum"), F.min(pos).alias("_min")
     )
     over = Window.partitionBy(*keys).orderBy("_blk")

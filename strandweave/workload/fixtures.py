@@ -22,7 +22,11 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def virtual_reads(spark: SparkSession, sf: str) -> DataFrame:
     """One read per part on a linear virtual genome of 500 bases per part."""
     part = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    genome = 500 * part.count()
+    return _place_reads(part, part.count())
+
+
+def _place_reads(part: DataFrame, n: int) -> DataFrame:
+    genome = 500 * n
     return part.select(
         "id",
         F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"),
@@ -34,8 +38,9 @@ def virtual_reads(spark: SparkSession, sf: str) -> DataFrame:
 
 def virtual_alignments(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs sharing at least 500 bases, and two kinds of false alignments."""
-    reads = virtual_reads(spark, sf).withColumn("g1", F.col("g0") + F.col("len"))
-    n = reads.count()
+    part = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    n = part.count()
+    reads = _place_reads(part, n).withColumn("g1", F.col("g0") + F.col("len"))
 
     def side(p: str) -> DataFrame:
         return reads.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "g0", "g1", "len", "rc")])
@@ -70,19 +75,27 @@ def virtual_alignments(spark: SparkSession, sf: str) -> DataFrame:
     )
     across = side("a").withColumn("b_id", (F.col("a_id") + n // 2) % n).join(side("b"), "b_id")
 
-    def noise(kind: int, chosen, q0, q1, t0, t1) -> DataFrame:
-        return across.filter(chosen).select(
-            F.lit(kind).cast("bigint").alias("kind"), "a_id", "b_id", "a_name", "a_len", "b_name", "b_len",
-            q0.alias("qstart"), q1.alias("qend"), t0.alias("tstart"), t1.alias("tend"),
-            F.lit("+").alias("strand"), F.lit(2000).cast("bigint").alias("block_len"),
-            F.lit(1700).cast("bigint").alias("nmatch"),
+    c, big = F.col, lambda v: F.lit(v).cast("bigint")
+
+    def noise(kind: int, chosen, q0, q1, t0, t1):
+        spot = F.struct(
+            big(kind).alias("kind"), q0.alias("qstart"), q1.alias("qend"), t0.alias("tstart"), t1.alias("tend")
         )
+        return F.when(chosen, spot)
 
-    c, big = F.col, lambda v: F.lit(v).cast("bigint")
+    ends = noise(1, c("a_id") % 20 == 0, c("a_len") - 2000, c("a_len"), big(0), big(2000))
+    inner = noise(
+        2, (c("a_id") % 20 == 7) & (c("a_len") >= 6000) & (c("b_len") >= 6000), big(2000), big(4000), big(2000), big(4000)
+    )
+    false_hits = across.select(
+        "a_id", "b_id", "a_name", "a_len", "b_name", "b_len", F.explode(F.array(ends, inner)).alias("s")
+    ).filter("s is not null")
     rows = rows.unionByName(
-        noise(1, c("a_id") % 20 == 0, c("a_len") - 2000, c("a_len"), big(0), big(2000))
-    ).unionByName(
-        noise(2, (c("a_id") % 20 == 7) & (c("a_len") >= 6000) & (c("b_len") >= 6000), big(2000), big(4000), big(2000), big(4000))
+        false_hits.select(
+            "s.kind", "a_id", "b_id", "a_name", "a_len", "b_name", "b_len",
+            "s.qstart", "s.qend", "s.tstart", "s.tend",
+            F.lit("+").alias("strand"), big(2000).alias("block_len"), big(1700).alias("nmatch"),
+        )
     )
     return rows.select(
         # an order-preserving number instead of a rank: (kind, a, b) packed
@@ -100,9 +113,10 @@ _CHUNK = 1000
 
 def virtual_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """``reads(rec_no, name, header, seq, plus, qual)`` cut from the virtual genome."""
-    reads = virtual_reads(spark, sf).withColumn("g1", F.col("g0") + F.col("len"))
-    genome = 500 * reads.count()
-    last = genome + BIN  # the last reads run past the nominal end
+    part = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    n = part.count()
+    reads = _place_reads(part, n).withColumn("g1", F.col("g0") + F.col("len"))
+    last = 500 * n + BIN  # the last reads run past the nominal end
     digits = F.array_join(
         F.transform(
             F.sequence(F.col("id") * _CHUNK, F.col("id") * _CHUNK + _CHUNK - 1),
