@@ -76,11 +76,16 @@ def isolated_nodes(graph: Graph) -> DataFrame:
     return graph.nodes.select("nid").join(touched, "nid", "left_anti")
 
 
-def remove_small_components(graph: Graph, min_nodes: int = 2) -> Graph:
-    """Delete components of fewer than ``min_nodes`` oriented nodes, in both orientations.
+def small_components(graph: Graph, min_nodes: int = 2) -> DataFrame:
+    """Nodes in components of fewer than ``min_nodes`` oriented nodes.
 
     For the default of 2 an anti-join answers the question without the component loop.
     """
     if min_nodes <= 2:
-        return delete_reads(graph, isolated_nodes(graph))
-    return delete_reads(graph, small_component_nodes(components(graph), min_nodes))
+        return isolated_nodes(graph)
+    return small_component_nodes(components(graph), min_nodes)
+
+
+def remove_small_components(graph: Graph, min_nodes: int = 2) -> Graph:
+    """Delete small components in both orientations."""
+    return delete_reads(graph, small_components(graph, min_nodes))

@@ -162,6 +162,11 @@ def delete_reads(graph: Graph, doomed: DataFrame) -> Graph:
     return Graph(nodes, edges.select(*EDGE_COLUMNS))
 
 
+def repeated_pairs(edges: DataFrame) -> DataFrame:
+    """``(src, dst)`` that several edges share."""
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n > 1").select("src", "dst")
+
+
 def ranked_edges(edges: DataFrame) -> DataFrame:
     """Out-edges numbered 1.. by (edge_len, dst) within each source.
 

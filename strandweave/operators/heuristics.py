@@ -94,7 +94,8 @@ def biloop_edges(graph: Graph, max_ext: int) -> DataFrame:
     """Edges ``w -> x`` bypassed by ``w -> v`` and an unbranched walk from ``v`` to ``x``.
 
     The walk follows single out-edges for at most ``max_ext`` steps and stops before a node
-    it has already passed; ``w -> x`` goes when its overlap is the smaller one.
+    it has already passed; ``x`` is any node on it. ``w -> x`` goes when its overlap is the
+    smaller one.
     """
     step = single_out(graph.edges).select(F.col("src").alias("at"), F.col("dst").alias("to"))
     walk = step.select(F.col("at").alias("v"), F.col("to").alias("x"), F.array("at", "to").alias("seen"))
@@ -109,7 +110,8 @@ def biloop_edges(graph: Graph, max_ext: int) -> DataFrame:
     into = graph.edges.select(F.col("src").alias("w"), F.col("dst").alias("v"), F.col("overlap_len").alias("near"))
     past = graph.edges.select(F.col("src").alias("w"), F.col("dst").alias("x"), F.col("overlap_len").alias("far"))
     return (
-        walk.select("v", "x")
+        walk.select("v", F.explode("seen").alias("x"))
+        .filter("v != x")
         .join(into, "v")
         .join(past, ["w", "x"])
         .filter("near > far")

@@ -40,7 +40,13 @@ def settle(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dic
     path = f"{shared_dir(spark)}/strandweave-{_RUN}/{next(_SERIAL):05d}-{label}"
     watch = Observation()
     exprs = [F.count(F.lit(1)).alias("rows")] + [c.alias(k) for k, c in metrics.items()]
-    df.observe(watch, *exprs).write.parquet(path)
+    # the folder is new and read only after success, so files may be committed directly
+    (
+        df.observe(watch, *exprs)
+        .write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        .parquet(path)
+    )
     seen = dict(watch.get)
     seen.setdefault("rows", 0)
     return spark.read.schema(df.schema).parquet(path), seen

@@ -286,7 +286,7 @@ def supplier_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    minute = F.expr("unix_seconds(ts) div 60")
+    minute = F.expr("unix_seconds(cast(ts as timestamp)) div 60")
     return load(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("name"),
         minute.alias("start"),
