@@ -101,30 +101,48 @@ def _walk_back(links: DataFrame, label: str) -> tuple[DataFrame, bool]:
     return state, False
 
 
-def _smallest_on_cycle(links: DataFrame) -> DataFrame:
-    """``(nid, low)``: the smallest node of each node's cycle, by doubling windows.
+def _around_cycles(ring: DataFrame) -> DataFrame:
+    """``(nid, head, pos, offset)`` on cycles, counted from each cycle's smallest node.
 
+    Windows of predecessors double; each keeps its smallest node and the way from there.
     When a round lowers no label, all windows of that width agree and cover the cycle.
     """
+    zero = F.lit(0).cast("bigint")
+    ahead = F.col("src") < F.col("dst")
     state, _ = settle(
-        links.select(F.col("dst").alias("nid"), F.col("src").alias("ptr"), F.least("src", "dst").alias("low")),
+        ring.select(
+            F.col("dst").alias("nid"),
+            F.col("src").alias("ptr"),
+            F.lit(1).cast("bigint").alias("steps"),
+            F.col("edge_len").alias("length"),
+            F.least("src", "dst").alias("low"),
+            F.when(ahead, F.lit(1)).otherwise(0).cast("bigint").alias("pos"),
+            F.when(ahead, F.col("edge_len")).otherwise(zero).alias("offset"),
+        ),
         "cycle",
     )
     while True:
-        hop = state.select(F.col("nid").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+        hop = state.select(
+            F.col("nid").alias("ptr"), *[F.col(c).alias(c + "2") for c in ("ptr", "steps", "length", "low", "pos", "offset")]
+        )
+        lower = F.col("low2") < F.col("low")
         state, seen = settle(
             state.join(hop, "ptr").select(
                 "nid",
                 F.col("ptr2").alias("ptr"),
+                (F.col("steps") + F.col("steps2")).alias("steps"),
+                (F.col("length") + F.col("length2")).alias("length"),
                 F.least("low", "low2").alias("low"),
-                (F.col("low2") < F.col("low")).alias("lowered"),
+                F.when(lower, F.col("steps") + F.col("pos2")).otherwise(F.col("pos")).alias("pos"),
+                F.when(lower, F.col("length") + F.col("offset2")).otherwise(F.col("offset")).alias("offset"),
+                lower.alias("lowered"),
             ),
             "cycle",
             lowered=F.count_if(F.col("lowered")),
         )
         state = state.drop("lowered")
         if not seen.get("lowered"):
-            return state.select("nid", "low")
+            return state.select("nid", F.col("low").alias("head"), "pos", "offset")
 
 
 def chain_table(graph: Graph) -> Chains:
@@ -137,16 +155,7 @@ def chain_table(graph: Graph) -> Chains:
     if cycles_left:
         on_cycle = state.filter("not done").select("nid")
         ring = table(links.join(on_cycle.withColumnRenamed("nid", "dst"), "dst", "left_semi"), "ring")
-        low = table(_smallest_on_cycle(ring), "cycle-low")
-        cut = ring.join(low.filter("nid = low").select(F.col("nid").alias("dst")), "dst", "left_anti")
-        opened, _ = _walk_back(cut, "opened")
-        first = low.filter("nid = low").select(
-            "nid", F.col("nid").alias("head"), zero.alias("pos"), zero.alias("offset"), F.lit(True).alias("cyclic")
-        )
-        placed = placed.unionByName(
-            opened.select("nid", F.col("ptr").alias("head"), "pos", "offset", F.lit(True).alias("cyclic"))
-        ).unionByName(first)
-        placed = table(placed, "placed")
+        placed = placed.unionByName(_around_cycles(ring).withColumn("cyclic", F.lit(True)))
     alone = (
         graph.nodes.select("nid")
         .join(placed.select("nid"), "nid", "left_anti")

@@ -636,7 +636,7 @@ FROM members m JOIN members f ON f.unitig_id = m.unitig_id AND f.pos = 0""",
     circular_unitigs=_with(
         """span AS (SELECT count(*) AS n FROM part),
 have AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
-alap AS (
+around AS (
   SELECT s, p, coalesce(lead(p) OVER (PARTITION BY s ORDER BY p), min(p) OVER (PARTITION BY s)) AS q FROM have),
 rings AS (
   SELECT s, min(p) AS p0, count(*) AS k, CAST(sum(1 + (p * 31 + q * 17) % 60) AS BIGINT) AS len
@@ -708,3 +708,45 @@ twins AS (SELECT * FROM raw UNION ALL SELECT xor(dst, 1), xor(src, 1), edge_len,
   SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY overlap_len DESC, identity DESC, edge_len) AS k FROM twins) b
 WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = b.src AND e.dst = b.dst)""",
 )
+
+ORACLES.update(
+    simplify_metrics=_with(F1U)
+    + """SELECT iteration, step, nn AS n_nodes, CASE WHEN at < 1 THEN m0 WHEN at < 3 THEN m1 ELSE m2 END AS n_edges,
+  0 AS removed_nodes, CASE at WHEN 1 THEN m0 - m1 WHEN 3 THEN m1 - m2 ELSE 0 END AS removed_edges
+FROM (SELECT count(*) AS m0 FROM edges), (SELECT count(*) AS m1 FROM slim), (SELECT count(*) AS m2 FROM clean),
+  (SELECT count(*) AS nn FROM nodes),
+  (SELECT 0 AS iteration, 'start' AS step, 0 AS at
+   UNION ALL SELECT i, s, (i - 1) * 6 + k FROM (SELECT unnest([1, 2, 3]) AS i),
+     (SELECT unnest(['transitive', 'multi', 'short', 'bubbles', 'components', 'tips']) AS s, unnest([1, 2, 3, 4, 5, 6]) AS k))""",
+    internal_chain_cut=_with(
+        SUCC, DEGREES,
+        """hike AS (
+  SELECT e.dst AS target, e.dst AS cur, 0 AS k FROM edges e JOIN deg d ON d.nid = e.src AND d.n_out >= 2
+  UNION
+  SELECT h.target, d.only_dst, k + 1 FROM hike h JOIN deg d ON d.nid = h.cur AND n_in = 1 AND n_out = 1 WHERE k < 10),
+fin AS (SELECT target, max(k) AS far, arg_max(cur, k) AS last FROM hike GROUP BY target),
+cut AS (SELECT target, far FROM fin JOIN deg ON nid = last WHERE far >= 1 AND n_out >= 2)""",
+    )
+    + "SELECT cur AS nid FROM hike JOIN cut USING (target) WHERE k < far",
+    biloop_cut=_with(
+        SUCC.replace("edges AS (\n  SELECT * FROM fw", "step AS (\n  SELECT * FROM fw").replace(
+            "nodes AS (SELECT src AS nid FROM edges UNION SELECT dst FROM edges)",
+            "nodes AS (SELECT src AS nid FROM step UNION SELECT dst FROM step)",
+        ),
+        """jump AS (
+  SELECT a.src, b.dst, a.edge_len, abs(a.overlap_len - b.overlap_len) + 100 AS overlap_len, a.identity
+  FROM step a JOIN step b ON b.src = a.dst WHERE a.src NOT IN (SELECT dst FROM step) AND a.src <> b.dst),
+edges AS (
+  SELECT src, dst, overlap_len FROM (
+    SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY overlap_len DESC, identity DESC, edge_len) AS k
+    FROM (SELECT * FROM step UNION ALL SELECT * FROM jump)) WHERE k = 1),
+lone AS (SELECT src, min(dst) AS dst FROM edges GROUP BY src HAVING count(*) = 1),
+way AS (
+  SELECT src AS v, dst AS x, 1 AS k, [src, dst] AS seen FROM lone
+  UNION ALL
+  SELECT w.v, l.dst, k + 1, list_append(seen, l.dst) FROM way w JOIN lone l ON l.src = w.x
+  WHERE k < 3 AND NOT list_contains(seen, l.dst))""",
+    )
+    + """SELECT DISTINCT p.src, p.dst FROM way JOIN edges n ON n.dst = v JOIN edges p ON p.src = n.src AND p.dst = x
+WHERE n.overlap_len > p.overlap_len""",
+)
