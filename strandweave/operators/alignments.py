@@ -113,7 +113,8 @@ def _stretches(steps: DataFrame, above: int) -> DataFrame:
     before = F.col("running") - F.col("delta")
     rises = (before <= above) & (F.col("running") > above)
     falls = (before > above) & (F.col("running") <= above)
-    # rises and falls alternate, so a stretch ends where the next crossing lies
+    # rises and falls alternate, so a stretch ends where the next crossing lies; a read has
+    # at most as many crossings as bases, however many alignments it has
     stop = F.lead("pos").over(Window.partitionBy("name").orderBy("pos"))
     return (
         steps.filter(rises | falls)

@@ -6,12 +6,13 @@ import random
 from collections import defaultdict
 
 from strandweave.operators.graph import EDGE_COLUMNS, Graph, from_edges
+from strandweave.plans.settle import table
 
 EDGES = "src bigint, dst bigint, edge_len bigint, overlap_len bigint, identity double"
 
 
 def edges_df(spark, rows):
-    return spark.createDataFrame([tuple(r) for r in rows], EDGES)
+    return table(spark.createDataFrame([tuple(r) for r in rows], EDGES).coalesce(1), "test-edges")
 
 
 def symmetric(rows):

@@ -26,7 +26,7 @@ def test_transitive_triangle(spark):
     assert sound(graph)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_transitive_matches_the_sequential_rule(spark, seed):
     rows = random_rows(seed, 14, 90)
     got = pairs(red.transitive_edges(graph_of(spark, rows), 10))
@@ -35,8 +35,8 @@ def test_transitive_matches_the_sequential_rule(spark, seed):
 
 def test_transitive_on_a_hub(spark):
     """One node with edges to and from nearly everything."""
-    rows = [(0, 2 * i, 10 + i, 500, 90) for i in range(1, 60)]
-    rows += [(2 * i, 2 * i + 2, 3 + i % 17, 400, 95) for i in range(1, 59)]
+    rows = [(0, 2 * i, 10 + i, 500, 90) for i in range(1, 24)]
+    rows += [(2 * i, 2 * i + 2, 3 + i % 17, 400, 95) for i in range(1, 23)]
     rows = symmetric(rows)
     assert pairs(red.transitive_edges(graph_of(spark, rows), 10)) == transitive_by_hand(rows, 10)
 
@@ -79,7 +79,7 @@ def test_isolated_nodes_go(spark):
     assert nids(cc.remove_small_components(graph, 3).nodes) == set()
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", range(1))
 def test_components_match_union_find(spark, seed):
     rows = random_rows(seed, 60, 45)
     got = {r["nid"]: r["comp"] for r in cc.components(graph_of(spark, rows)).collect()}
@@ -113,7 +113,7 @@ def test_tip_lengths_and_degrees(spark):
     assert st.compressible_fraction(empty).first()["fraction"] == 0.0
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_unitigs_match_walks(spark, seed):
     rows = random_rows(seed, 40, 42)
     found = ut.compress(graph_of(spark, rows))
