@@ -711,11 +711,11 @@ WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = b.src AND e.dst
 
 ORACLES.update(
     simplify_metrics=_with(F1U)
-    + """SELECT iteration, step, nn AS n_nodes, CASE WHEN at < 1 THEN m0 WHEN at < 3 THEN m1 ELSE m2 END AS n_edges,
-  0 AS removed_nodes, CASE at WHEN 1 THEN m0 - m1 WHEN 3 THEN m1 - m2 ELSE 0 END AS removed_edges
+    + """SELECT iteration, step, nn AS n_nodes, CASE WHEN tick < 1 THEN m0 WHEN tick < 3 THEN m1 ELSE m2 END AS n_edges,
+  0 AS removed_nodes, CASE tick WHEN 1 THEN m0 - m1 WHEN 3 THEN m1 - m2 ELSE 0 END AS removed_edges
 FROM (SELECT count(*) AS m0 FROM edges), (SELECT count(*) AS m1 FROM slim), (SELECT count(*) AS m2 FROM clean),
   (SELECT count(*) AS nn FROM nodes),
-  (SELECT 0 AS iteration, 'start' AS step, 0 AS at
+  (SELECT 0 AS iteration, 'start' AS step, 0 AS tick
    UNION ALL SELECT i, s, (i - 1) * 6 + k FROM (SELECT unnest([1, 2, 3]) AS i),
      (SELECT unnest(['transitive', 'multi', 'short', 'bubbles', 'components', 'tips']) AS s, unnest([1, 2, 3, 4, 5, 6]) AS k))""",
     internal_chain_cut=_with(
