@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import bpe_prefix, exact_dedup, packing, records
-from strandweave.llm.common import read
+from strandweave.llm import (
+    bpe_prefix,
+    exact_dedup,
+    html_crf,
+    kd_topk,
+    language_codes,
+    packing,
+    records,
+    secret_scan,
+    toxicity,
+)
+from strandweave.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +28,38 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_crf.extract(pages, html_crf.fit(pages))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    model = language_codes.fit(docs.filter(~held_out))
+    return language_codes.identify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = read(spark, sf_dir, "labels").filter(fold("doc_id", 4) != 2)
+    return toxicity.fit(read(spark, sf_dir, "documents"), labels)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(read(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode_documents(
         read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
@@ -39,11 +77,46 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.record_rows(written)
 
 
+def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_exact_dedup, op7_prefix_bpe, op8_best_fit_packing, op9_token_records)
+    f.__name__: f
+    for f in (
+        op1_html_crf,
+        op2_exact_dedup,
+        op3_language_codes,
+        op4_toxicity,
+        op6_secret_scan,
+        op7_prefix_bpe,
+        op8_best_fit_packing,
+        op9_token_records,
+        op10_kd_topk,
+    )
 }
 
 SQL: dict[str, str] = {
+    "op10_kd_topk": """
+        WITH v AS (
+            SELECT vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS query_id, b.vec_id,
+                   CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            WHERE a.vec_id % 50 = 0
+        ),
+        r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
     "op2_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
