@@ -10,6 +10,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.plans.settle import settle
+
 #: words as the contracts define them: runs without space, tab, LF, VT, FF and CR
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -47,6 +49,22 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def ddl_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder all executors share (local, HDFS, S3, GCS)."""
     return pafs.FileSystem.from_uri(uri)
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str], label: str, most: int = 500_000) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` names by ``keys``.
+
+    The names are written first, so their number is known: up to ``most`` are broadcast and the
+    texts stay where they are, more are joined by a shuffle.
+    """
+    names, seen = settle(dropped, label)
+    return docs.join(F.broadcast(names) if seen["rows"] <= most else names, keys, "left_anti").select(
+        *[docs[f"`{c}`"] for c in docs.columns]
+    )

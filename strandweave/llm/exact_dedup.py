@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.common import without
 from strandweave.plans.settle import settle
 
 _OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -87,6 +88,9 @@ def exact_duplicates(docs: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, salts: int = 32) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_duplicates(docs.select("doc_id", "text"), salts).filter("kept")
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, with all their columns. Rows with a null id stay too: no other
+    row can name them."""
+    found = exact_duplicates(docs.select("doc_id", "text"), salts)
+    dropped = found.filter(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("_sha256"))
+    named = docs.withColumn("_sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    return without(named, dropped.distinct(), ["doc_id", "_sha256"], "dropped").drop("_sha256")

@@ -10,6 +10,7 @@ from strandweave.llm import (
     bpe_prefix,
     exact_dedup,
     html_crf,
+    jaccard_regions,
     kd_topk,
     language_codes,
     packing,
@@ -56,6 +57,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op2_exact_dedup,
         op3_language_codes,
         op4_toxicity,
+        op5_jaccard_regions,
         op6_secret_scan,
         op7_prefix_bpe,
         op8_best_fit_packing,

@@ -24,7 +24,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from strandweave.llm.common import map_batches
+from strandweave.llm.common import ddl_of, map_batches
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "sshkey", "pem")
 # fixed values: the patterns of the contract
@@ -189,8 +189,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     def rows(batch: dict[str, list]) -> dict[str, list]:
         return batch | {"text": [_without(t, mark) for t in batch["text"]]}
 
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_batches(docs, rows, ddl).select(*[f"`{n.replace('`', '``')}`" for n in names])
+    return map_batches(docs.select(*[f"`{n}`" for n in names]), rows, ddl_of(docs))
 
 
 def _without(text: str | None, mark: str) -> str | None:

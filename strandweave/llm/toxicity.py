@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import map_batches
+from strandweave.llm.common import ddl_of, map_batches
 from strandweave.plans.settle import table
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -288,10 +288,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
     """The rows of ``docs`` whose score stays below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
         stay = [shared.value.score(t) < threshold for t in batch["text"]]
         return {n: [v for v, s in zip(batch[n], stay, strict=True) if s] for n in names}
 
-    return map_batches(docs, rows, ddl)
+    return map_batches(docs, rows, ddl_of(docs))
