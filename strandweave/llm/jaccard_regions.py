@@ -3,14 +3,14 @@
 A text is the set of its five-word shingles; texts with distance at most ``radius`` link. Almost
 all distances are 1, so pivots drawn at random would tell nothing. They are found where sets agree:
 
-1. *Regions.* Shingles are dealt into parts by a hash. Two sets within the radius differ in at most
-   ``D`` shingles, so of more than ``D`` occupied parts at least one is the same in both. Sets that
-   agree on a whole part form a region. The number of parts follows the size class of the smaller set; a set
-   near the lower end of its class is in the parts of the class below too. Where too many parts are
-   empty, the shingles of its prefix (which two sets within the radius always share) form regions as well.
-2. *Pivots and cells.* The smallest member of a region is its pivot. Distances to it are bounded
-   from below by parity sketches and computed exactly where they can be within the radius. What
-   is within it is the pivot's cell and one component.
+1. *Regions.* Of a set of n shingles any n - ceil(0.8 n) + 1 hold one that a set within the radius
+   has too. Each set names that many, rare ones first, and sets that name the same shingle form a
+   region. Which shingles are frequent is counted over all batches; it only decides the order
+   and so the size of regions, never which pairs are found.
+2. *Pivots and cells.* The member with the fewest rare shingles is its region's pivot, as it
+   has the least of its own. Distances to it are bounded from below by parity sketches and
+   computed exactly where they can be within the radius. What is within it is the pivot's
+   cell and one component.
 3. *Boundary.* Regions that are not one component yet are joined again with further pivots, all of them
    in small regions, 4 times as many in each round in large ones, until each pair was
    a pivot's pair once. The triangle inequality leaves out pairs whose distances to the region's first
@@ -109,99 +109,112 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
-class Parts:
-    """Size classes and the number of parts of each, for links of ``percent`` per cent or more."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        bounds = [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, bounds[-1] * 3 // 2))
-        self.bounds = np.array(bounds)
-        # |A u B| <= 100/percent |A|, and what differs is at most (100 - percent)/100 of that
-        self.differ = [(b - 1) * (100 - percent) // percent for b in bounds[1:]]
-        self.number = [d + 2 + -(-d // 5) for d in self.differ]
-
-    def size_class(self, n: int) -> int:
-        return int(np.searchsorted(self.bounds, n, side="right")) - 1
-
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """Region keys of a set: one for each occupied part, and of the prefix where those may not do."""
-        n = len(found)
-        least = -(-self.percent * n // 100)  # shingles shared with any set within the radius
-        out = []
-        for c in range(self.size_class(max(least, 1)), self.size_class(n) + 1):
-            m, salt = self.number[c], _U((c + 1) * int(_STEP) % (1 << 64))
-            part = ((found >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            content = np.add.reduceat(mix(found + salt), first)
-            out.append(mix(content ^ (part[first].astype(_U) * _U(_BASE) + salt)))
-            if len(first) <= self.differ[c]:  # empty parts could be the ones that agree
-                out.append(mix(found[: n - least + 1] ^ ~salt))
-        return np.concatenate(out).view(np.int64)
+def named(found: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles a set names, rare ones first, then by how often they are met (``n``), and how
+    many rare ones it has."""
+    at = np.minimum(np.searchsorted(frequent, found), max(len(frequent) - 1, 0))
+    common = frequent[at] == found if len(frequent) else np.zeros(len(found), dtype=bool)
+    rare, most = found[~common], len(found) + percent * len(found) // -100 + 1
+    if len(rare) >= most:
+        return rare[:most], len(rare)
+    often = found[common][np.argsort(n[at[common]], kind="stable")]
+    return np.concatenate([rare, often[: most - len(rare)]]), len(rare)
+
+
+_FREQUENT = np.int32(1 << 30)
+_KNOWN = "doc_id bigint, n_shingles bigint, digest bigint, sketch binary, met bigint"
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest, sketch``; digest and sketch are null for the empty set."""
+    """``doc_id, n_shingles, digest, sketch, met``: a row for each document, digest and sketch null
+    for the empty set, and, with ``met``, one for each shingle (``digest``) that stands in
+    ``met`` > 1 different sets of a batch."""
 
     def rows(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": batch["doc_id"], "n_shingles": [], "digest": [], "sketch": []}
+        out: dict[str, list] = {
+            "doc_id": batch["doc_id"], "n_shingles": [], "digest": [], "sketch": [], "met": [None] * len(batch["doc_id"])
+        }
+        different: dict[int, np.ndarray] = {}
         for text in batch["text"]:
             found = shingles(text)
+            own = digest(found)
             out["n_shingles"].append(len(found))
-            out["digest"].append(digest(found))
+            out["digest"].append(own)
             out["sketch"].append(sketch(found) if len(found) else None)
+            if own is not None:
+                different[own] = found
+        if different:
+            value, n = np.unique(np.concatenate(list(different.values())), return_counts=True)
+            value, n = value[n > 1], n[n > 1]
+            out["digest"] += value.view(np.int64).tolist()
+            out["met"] += n.tolist()
+            for name in ("doc_id", "n_shingles", "sketch"):
+                out[name] = out[name] + [None] * len(value)
         return out
 
-    return map_batches(
-        docs.select("doc_id", "text"), rows, "doc_id bigint, n_shingles bigint, digest bigint, sketch binary"
+    return map_batches(docs.select("doc_id", "text"), rows, _KNOWN)
+
+
+def frequent_shingles(known: DataFrame, n_docs: int, share: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met in at least every ``share``-th set (in 8 sets, where that is more): no more
+    than ``share`` times the mean number of shingles of a text. With how often each was met."""
+    least = max(8, n_docs // share)
+    rows = (
+        known.filter(F.col("met").isNotNull())
+        .groupBy("digest")
+        .agg(F.sum("met").alias("n"))
+        .filter(F.col("n") >= least)
+        .toPandas()
     )
+    value, n = rows["digest"].to_numpy(dtype=np.int64).view(_U), rows["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(value)
+    return value[order], n[order]
 
 
-def _region_rows(docs: DataFrame, percent: int) -> DataFrame:
-    """``key, digest`` for each set a task meets, once."""
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64())])
-    parts = Parts(percent)
+def _region_rows(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``key, rare, digest`` for each set a task meets, once."""
+    names = ["key", "rare", "digest"]
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            keys, names, size = [], [], 0
-            for text in batch.column("text").to_pylist():
+            columns: tuple[list, list, list] = ([], [], [])
+            size = 0
+            texts = batch.column("text").to_pylist()
+            for i, text in enumerate(texts):
                 found = shingles(text)
                 own = digest(found)
-                if own is None or own in met:
-                    continue
-                if len(met) < 1_000_000:  # more copies than that only cost rows
-                    met.add(own)
-                keys.append(parts.keys(found))
-                names.append(np.full(len(keys[-1]), own, dtype=np.int64))
-                size += len(keys[-1])
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], schema=schema
-                    )
-                    keys, names, size = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(names))], schema=schema
-                )
-
-    return docs.select("text").mapInArrow(run, "key bigint, digest bigint")
+                if own is not None and own not in met:
+                    if len(met) < 1_000_000:  # more copies than that only cost rows
+                        met.add(own)
+                    keys, rare = named(found, *shared.value, percent)
+                    columns[0].append(keys.view(np.int64))
+                    # above _FREQUENT in the region of a frequent shingle
+                    columns[1].append(rare + _FREQUENT * (np.arange(len(keys), dtype=np.int32) >= rare))
+                    columns[2].append(np.full(len(keys), own, dtype=np.int64))
+                    size += len(keys)
+                if size and (size > 200_000 or i + 1 == len(texts)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+                    columns, size = ([], [], []), 0
+
+    return docs.select("text").mapInArrow(run, "key bigint, rare int, digest bigint")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """``key, digest, pivot`` of the regions with at least two members, the pivot the smallest.
+    """``key, digest, rare, pivot`` of the regions with at least two members, the pivot the first by
+    rare shingles.
 
     Rows come sorted, so a region of any size passes as a stream.
     """
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("pivot", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("rare", pa.int32()), ("pivot", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int, bool] | None = None  # the last row: key, digest, pivot, given out
+        held: tuple | None = None  # the last row: key, digest, pivot, given out, rare
         for batch in batches:
             key = np.asarray(batch.column("key"))
             name = np.asarray(batch.column("digest"))
+            rare = np.asarray(batch.column("rare"))
             waiting = False
             pivot_before = None
             if held is not None and len(key):
@@ -210,10 +223,11 @@ def _shared(rows: DataFrame) -> DataFrame:
                 pivot_before = held[2] if same else None
                 key = np.concatenate([[held[0]], key])
                 name = np.concatenate([[held[1]], name])
+                rare = np.concatenate([[held[4]], rare]).astype(np.int32)
             if not len(key):
                 continue
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-            key, name = key[fresh], name[fresh]
+            key, name, rare = key[fresh], name[fresh], rare[fresh]
             first = np.concatenate([[True], key[1:] != key[:-1]])
             group = np.cumsum(first) - 1
             size = np.bincount(group)
@@ -231,14 +245,14 @@ def _shared(rows: DataFrame) -> DataFrame:
             given = bool(out[-1]) or bool(
                 held is not None and held[3] and last_group == 0 and pivot_before is not None
             )
-            held = (int(key[-1]), int(name[-1]), int(pivot[-1]), given)
+            held = (int(key[-1]), int(name[-1]), int(pivot[-1]), given, int(rare[-1]))
             if out.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[out]), pa.array(name[out]), pa.array(pivot[out])], schema=schema
+                    [pa.array(x[out]) for x in (key, name, rare, pivot)], schema=schema
                 )
 
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "digest")
-    return sorted_rows.mapInArrow(run, "key bigint, digest bigint, pivot bigint")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "rare", "digest")
+    return sorted_rows.mapInArrow(run, "key bigint, digest bigint, rare int, pivot bigint")
 
 
 def _regions(shared: DataFrame) -> DataFrame:
@@ -261,7 +275,8 @@ class _Space:
         self.plain_info = info
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, low, high`` for pairs ``a, b``: bounds of the distance, equal where it was computed."""
+        """``a, b, low, high, linked`` for pairs ``a, b``: bounds of the distance, equal where it was
+        computed, and whether it is within the radius."""
         percent = self.percent
         side = lambda x: self.info.select(
             F.col("digest").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")
@@ -280,15 +295,18 @@ class _Space:
         bounded = table(map_batches(wide, bound, "a bigint, b bigint, low double"), "bounds")
         near, seen = settle(bounded.filter(F.col("low") <= (100 - percent) / 100 + 1e-9).select("a", "b"), "near")
         if not seen["rows"]:
-            return bounded.withColumn("high", F.lit(1.0))
+            return bounded.withColumns({"high": F.lit(1.0), "linked": F.lit(False)})
         exact = table(self._exact(near, seen["rows"]), "exact")
         return (
             bounded.join(exact, ["a", "b"], "left")
-            .select("a", "b", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
+            .select(
+                "a", "b", F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"),
+                F.coalesce("linked", F.lit(False)).alias("linked"),
+            )
         )
 
     def _exact(self, pairs: DataFrame, n_pairs: int) -> DataFrame:
-        """``a, b, d``; ``d`` is -1 where the pair links, as 100 * both >= percent * either says."""
+        """``a, b, d, linked``; a pair links where 100 * both >= percent * either."""
         percent = self.percent
         asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         first = self.plain_info.join(asked, "digest", "left_semi").select("doc_id", F.col("digest").alias("want"))
@@ -311,15 +329,16 @@ class _Space:
         wide = pairs.join(side("a"), "a").join(side("b"), "b")
 
         def measure(batch: dict[str, list]) -> dict[str, list]:
-            d = []
+            d, linked = [], []
             for left, right in zip(batch["m_a"], batch["m_b"], strict=True):
                 x, y = np.frombuffer(left, _U), np.frombuffer(right, _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 either = len(x) + len(y) - both
-                d.append(-1.0 if 100 * both >= percent * either else 1 - both / either)
-            return {"a": batch["a"], "b": batch["b"], "d": d}
+                d.append(1 - both / either)
+                linked.append(100 * both >= percent * either)
+            return {"a": batch["a"], "b": batch["b"], "d": d, "linked": linked}
 
-        return map_batches(wide, measure, "a bigint, b bigint, d double")
+        return map_batches(wide, measure, "a bigint, b bigint, d double, linked boolean")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -332,7 +351,9 @@ def _labels(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``)."""
     docs = docs.select("doc_id", "text")
-    rows = table(described(docs), "described")
+    known, counted = settle(described(docs), "described", docs=F.count_if(F.col("met").isNull()))
+    rows = known.filter(F.col("met").isNull())
+    frequent = frequent_shingles(known, counted.get("docs", 0))
     info, seen = settle(
         rows.filter(F.col("digest").isNotNull())
         .groupBy("digest", "n_shingles", "sketch")
@@ -340,27 +361,27 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         "sets-known",
     )
     space = _Space(docs, info, seen["rows"], percent)
-    shared = table(_shared(_region_rows(docs, percent)), "shared")
+    shared = table(_shared(_region_rows(docs, percent, frequent)), "shared")
     members = table(_regions(shared), "regions")
     radius = (100 - percent) / 100
 
     star = members.filter("digest <> pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b"))
-    known = table(space.measured(star.distinct()), "to-pivots")
-    links, n = settle(known.filter("low < 0").select("a", "b"), "links")
+    apart = table(space.measured(star.distinct()), "to-pivots")
+    links, n = settle(apart.filter("linked").select("a", "b"), "links")
     comps = _labels(links) if n["rows"] else None
 
     # bounds of each member's distance to its region's pivot
-    from_pivot = known.select(
+    from_pivot = apart.select(
         F.col("a").alias("pivot"), F.col("b").alias("digest"),
-        F.greatest("low", F.lit(0.0)).alias("low"),
-        F.when(F.col("low") < 0, F.lit(radius)).otherwise(F.col("high")).alias("high"),
+        "low", "high",
     )
     place = F.pmod(F.xxhash64("digest", "key"), F.col("size")).alias("place")
     zero = F.lit(0.0)
     members = (
         members.join(from_pivot, ["pivot", "digest"], "left")
         .join(info.select("digest", "n_shingles"), "digest")
-        .select("key", "size", "digest", F.coalesce("low", zero).alias("low"),
+        .select("key", "size", "digest", F.greatest(F.col("rare") - int(_FREQUENT), F.lit(0)).alias("own"),
+                F.coalesce("low", zero).alias("low"),
                 F.coalesce("high", zero).alias("high"), "n_shingles", place)
     )
     members = table(members, "members")
@@ -370,9 +391,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         labelled = members.withColumn("comp", comp)
         if comps is not None:
             labelled = members.join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-        apart = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+        split = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
         live, seen = settle(
-            labelled.filter(F.col("size") > done).join(apart.select("key"), "key", "left_semi"),
+            labelled.filter(F.col("size") > done).join(split.select("key"), "key", "left_semi"),
             "apart",
             largest=F.max("size"),
         )
@@ -392,6 +413,12 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
                 F.least("p.n_shingles", "q.n_shingles") * 100
                 >= F.greatest("p.n_shingles", "q.n_shingles") * percent
             )
+            # in a frequent shingle's region: rare shingles of either side are not in the other set, or
+            # the pair meets in a rare one's region
+            .filter(
+                (F.col("p.own") + F.col("q.own")) * (100 + percent)
+                <= (F.col("p.n_shingles") + F.col("q.n_shingles")) * (100 - percent)
+            )
             # the triangle inequality, by the distances to the region's first pivot
             .filter(
                 (F.col("p.low") <= F.col("q.high") + radius + 1e-9)
@@ -402,7 +429,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
             )
             .distinct()
         )
-        more, n = settle(space.measured(pairs).filter("low < 0").select("a", "b"), "links")
+        more, n = settle(space.measured(pairs).filter("linked").select("a", "b"), "links")
         if n["rows"]:
             links = links.unionByName(more)
             comps = _labels(links)
@@ -410,14 +437,14 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
             break
         done, pivots = pivots, 4 * pivots
 
-    named = info.select("digest", "doc_id")
+    ends = info.select("digest", "doc_id")
     if comps is not None:
-        named = named.join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
-        least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(least, "comp").select("digest", "component_id")
+        ends = ends.join(comps, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+        least = ends.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        ends = ends.join(least, "comp").select("digest", "component_id")
     else:
-        named = named.withColumnRenamed("doc_id", "component_id")
-    return rows.join(named, "digest", "left").select(
+        ends = ends.withColumnRenamed("doc_id", "component_id")
+    return rows.join(ends, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
