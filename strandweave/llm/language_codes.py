@@ -94,7 +94,7 @@ class Model:
             odds = np.log(yes / no)
             weight.append(odds)
             apart.append(((yes - no) * odds).sum())
-        self.weight = np.array(weight, dtype=np.float32).reshape(len(weight), -1).T.copy()
+        self.weight = np.array(weight, dtype=np.float32).reshape(len(weight), BUCKETS).T.copy()
         self.loss_weight = np.array(apart) / np.mean(apart) if apart else np.zeros(0)
 
     def margins(self, text: bytes) -> np.ndarray:

@@ -209,9 +209,12 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def regression(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the intercept."""
-    rows = np.hstack([x, np.ones((len(x), 1))])
+def regression(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton steps; the last weight is the intercept. The ridge acts on
+    standardised columns, so one that never changes in training has no weight."""
+    middle, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread < 1e-9] = np.inf
+    rows = np.hstack([(x - middle) / spread, np.ones((len(x), 1))])
     w = np.zeros(rows.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
@@ -221,7 +224,8 @@ def regression(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return w
+    scaled = w[:-1] / spread
+    return np.append(scaled, w[-1] - scaled @ middle)
 
 
 def fit(
