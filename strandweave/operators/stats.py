@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandweave.operators.chains import chain_table
 from strandweave.operators.graph import Graph, degrees
+from strandweave.plans.ordering import weighted_cut
 
 
 def degree_histogram(graph: Graph) -> DataFrame:
@@ -89,11 +90,16 @@ def n50(contigs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Smallest ``length`` in the longest-first prefix that holds half of all bases; 0 on
     empty input without groups.
 
-    Rows are first counted per length, so the window runs over distinct lengths only.
+    Without groups the length is found on bounded histograms; with groups rows are first counted
+    per length, so a window runs over the distinct lengths of its group only.
     """
-    keys = keys or []
+    if not keys:
+        total = contigs.agg(F.sum("length")).first()[0] or 0
+        cut = weighted_cut(contigs, -F.col("length"), F.col("length"), (total + 1) // 2) if total else None
+        found = -cut[0] if cut else 0
+        return contigs.sparkSession.range(1).select(F.lit(found).cast("bigint").alias("n50"))
     counts = contigs.groupBy(*keys, "length").agg((F.count("*") * F.col("length")).alias("bases"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    group = Window.partitionBy(*keys)
     down = group.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     reached = counts.select(
         *keys,
@@ -101,7 +107,4 @@ def n50(contigs: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.sum("bases").over(down).alias("so_far"),
         F.sum("bases").over(group).alias("total"),
     ).filter(F.col("so_far") * 2 >= F.col("total"))
-    found = F.max("length")
-    if not keys:
-        found = F.coalesce(found, F.lit(0).cast("bigint"))
-    return reached.groupBy(*keys).agg(found.alias("n50"))
+    return reached.groupBy(*keys).agg(F.max("length").alias("n50"))

@@ -12,6 +12,7 @@ from strandweave.operators.chains import chain_table
 from strandweave.operators.graph import Graph, degrees
 from strandweave.plans.ordering import with_index
 from strandweave.plans.settle import table
+from strandweave.sources.readers import sequences_by_name
 
 
 @dataclass(frozen=True)
@@ -298,9 +299,19 @@ def _piece() -> Column:
 
 
 def sequence_pieces(placed: DataFrame, reads: DataFrame) -> DataFrame:
-    """``(unitig_id, pos, utg_start, utg_end, piece)`` from a layout and ``reads(name, seq)``."""
-    return placed.join(reads.select(F.col("name").alias("read"), "seq"), "read").select(
-        "unitig_id", "pos", "utg_start", "utg_end", _piece().alias("piece")
+    """``(unitig_id, pos, utg_start, utg_end, piece)`` from a layout and ``reads(name, seq)``.
+
+    Of several records of a name the last one counts, by ``rec_no`` where reads have it. A read
+    of the layout that is not among them is an error.
+    """
+    wanted = placed.select(F.col("read").alias("name")).distinct()
+    numbered = reads if "rec_no" in reads.columns else reads.withColumn("rec_no", F.monotonically_increasing_id())
+    found = sequences_by_name(numbered.join(wanted, "name", "left_semi"))
+    missing = F.raise_error(F.concat(F.lit("no sequence for read "), F.col("read"))).cast("string")
+    return (
+        placed.join(found.withColumnRenamed("name", "read"), "read", "left")
+        .withColumn("seq", F.when(F.col("seq").isNull(), missing).otherwise(F.col("seq")))
+        .select("unitig_id", "pos", "utg_start", "utg_end", _piece().alias("piece"))
     )
 
 

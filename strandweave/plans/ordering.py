@@ -14,7 +14,7 @@ def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add the 0-based rank of each row in ``order`` (a total order) as ``name``.
 
     Rows are range-partitioned and sorted; only the per-partition row counts, one row
-    per shuffle partition, are accumulated in one place and broadcast.
+    per shuffle partition, are accumulated in one place.
     """
     ranged = (
         df.repartitionByRange(*order)
@@ -29,7 +29,7 @@ def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
         "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
     return (
-        ranged.join(F.broadcast(shift), "_part")
+        ranged.join(shift, "_part")
         .withColumn(name, F.col("_seq") + F.col("_shift"))
         .drop("_part", "_seq", "_shift")
     )

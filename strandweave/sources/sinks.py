@@ -51,18 +51,19 @@ def _tabbed(*parts) -> Column:
     return F.concat_ws("\t", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+#: more bases than a string can hold
+_WHOLE = 1 << 31
+
+
 def gfa_lines(
     sizes: DataFrame,
     edges: DataFrame,
     placed: DataFrame,
     pieces: DataFrame | None = None,
-    max_inline: int = 5_000_000,
 ) -> DataFrame:
     """``(section, a, b, value)``: header, segments, circular links, links, read lines.
 
-    Sequences of up to ``max_inline`` bases stand in their segment line. A longer one would
-    make a single row of a whole chromosome; its segment has ``*`` and its length, and the
-    FASTA sink holds the bases.
+    A segment line holds all bases of its unitig; without ``pieces`` it has ``*`` and the length.
     """
     zero = F.lit(0).cast("bigint")
 
@@ -77,10 +78,8 @@ def gfa_lines(
     if pieces is None:
         short = named.select("unitig_id", F.lit(None).cast("string").alias("seq")).limit(0)
     else:
-        inline = pieces.join(
-            sizes.filter(F.col("length") <= max_inline).select("unitig_id"), "unitig_id", "left_semi"
-        )
-        short = sequence_chunks(inline, max_inline).select("unitig_id", "seq")
+        # one stretch per unitig: a line of GFA is one row, whatever its length
+        short = sequence_chunks(pieces, _WHOLE).select("unitig_id", "seq")
     segments = named.join(short, "unitig_id", "left")
     length_tag = F.concat(F.lit("LN:i:"), F.col("length").cast("string"))
     rows = header.unionByName(
@@ -141,12 +140,9 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         colour = colour.when(degree <= most, name)
     colour = colour.otherwise(_COLOUR_ABOVE)
     frame = [
-        (0, 0, "digraph OverlapGraph {"),
-        (0, 1, "  rankdir=LR;"),
-        (0, 2, '  node [shape=box fontname="Helvetica"];'),
-        (0, 3, '  edge [fontname="Helvetica"];'),
-        (0, 4, ""),
-        (2, 0, ""),
+        (0, 0, "digraph overlaps {"),
+        (0, 1, "  graph [rankdir=LR, splines=true];"),
+        (0, 2, "  node [shape=ellipse, fontsize=10];"),
         (4, 0, "}"),
     ]
     around = nodes.sparkSession.createDataFrame(frame, "section int, a bigint, value string").select(

@@ -1,3 +1,5 @@
+import pytest
+from pyspark.sql import functions as F
 from helpers import graph_of, symmetric
 from strandweave import assembly as asm
 from strandweave.operators import unitigs as ut
@@ -33,8 +35,16 @@ def test_gfa_and_fasta(spark, tmp_path):
     assert ring == SEQ[:1] + SEQ[:2] + SEQ[:3] + SEQ[:4]
     chain = next(t for t in text if t[0] == "S" and "_l\t" in t).split("\t")[2]
     assert chain == SEQ[:4] + SEQ
-    long = sinks.gfa_lines(done.sizes, done.unitigs.edges, done.layout, done.pieces(), max_inline=12).collect()
-    assert any("*\tLN:i:14" in r["value"] for r in long)
+    bare = sinks.gfa_lines(done.sizes, done.unitigs.edges, done.layout).collect()
+    assert any("*\tLN:i:14" in r["value"] for r in bare)
+    # the last record of a name counts, and a read without one is an error
+    doubled = reads.withColumn("rec_no", F.lit(1)).unionByName(
+        reads.withColumns({"seq": F.lit("N" * len(SEQ)), "rec_no": F.lit(0)})
+    )
+    same = asm.finish(graph, None, doubled, graph.edges).pieces().collect()
+    assert sorted(same) == sorted(done.pieces().collect())
+    with pytest.raises(Exception, match="no sequence for read r3"):
+        asm.finish(graph, None, reads.filter("name <> 'r3'"), graph.edges).pieces().collect()
     sinks.write_fasta(done.sizes, done.pieces(), str(tmp_path / "fa"), width=5)
     got = "".join(p.read_text() for p in sorted((tmp_path / "fa").glob("part-*"))).split(">")[1:]
     bodies = {"".join(r.split("\n")[1:]): r.split("\n")[0] for r in got}
@@ -54,5 +64,5 @@ def test_dot(spark, tmp_path):
     graph = small(spark)
     sinks.write_dot(graph.nodes, graph.edges, str(tmp_path / "dot"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "dot").glob("part-*")))
-    assert text.startswith("digraph OverlapGraph {") and text.rstrip().endswith("}")
+    assert text.startswith("digraph overlaps {") and text.rstrip().endswith("}")
     assert '  "r0:0-10+" -> "r1:0-10+";' in text and 'fillcolor=gray' in text and text.count("->") == 10
