@@ -301,12 +301,13 @@ def _piece() -> Column:
 def sequence_pieces(placed: DataFrame, reads: DataFrame) -> DataFrame:
     """``(unitig_id, pos, utg_start, utg_end, piece)`` from a layout and ``reads(name, seq)``.
 
-    Of several records of a name the last one counts, by ``rec_no`` where reads have it. A read
-    of the layout that is not among them is an error.
+    Of several records of a name the one with the last ``rec_no`` counts; without that column
+    names are taken to be unique. A read of the layout that is not among them is an error.
     """
     wanted = placed.select(F.col("read").alias("name")).distinct()
-    numbered = reads if "rec_no" in reads.columns else reads.withColumn("rec_no", F.monotonically_increasing_id())
-    found = sequences_by_name(numbered.join(wanted, "name", "left_semi"))
+    found = reads.select("name", "seq")
+    if "rec_no" in reads.columns:
+        found = sequences_by_name(reads.join(wanted, "name", "left_semi"))
     missing = F.raise_error(F.concat(F.lit("no sequence for read "), F.col("read"))).cast("string")
     return (
         placed.join(found.withColumnRenamed("name", "read"), "read", "left")
