@@ -42,12 +42,12 @@ from strandweave.plans.settle import settle, table
 
 _U = np.uint64
 WORDS = 5
-#: bits of a parity sketch
+#: bits of the smallest parity sketch
 _SKETCH = 1024
 #: regions up to this size take all members as pivots at once
 _LEAF = 32
-#: rows of a side that may be broadcast (some 150 bytes each)
-_BROADCAST_ROWS = 300_000
+#: bytes of a side that may be broadcast
+_BROADCAST = 64 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTER = np.random.default_rng(2026).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -103,12 +103,21 @@ def digest(found: np.ndarray) -> int | None:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Bit i: whether an odd number of shingles falls to i. Bits in which two sketches differ need
-    at least one shingle each that only one set has."""
-    odd = np.bincount((found % _U(_SKETCH)).astype(np.int64), minlength=_SKETCH) & 1
+    """Bit i: whether an odd number of shingles falls to i, of about as many bits as the set has
+    shingles. Bits in which two sketches differ need at least one shingle each that only one set has."""
+    bits = max(_SKETCH, 1 << (max(len(found), 1) - 1).bit_length())
+    odd = np.bincount((found % _U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def differing(left: bytes, right: bytes) -> int:
+    """Bits in which two sketches differ; the longer one is folded to the shorter one's bits."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def named(found: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The shingles a set names, rare ones first, then by how often they are met (``n``), and how
     many rare ones it has."""
@@ -269,9 +278,9 @@ def _regions(shared: DataFrame) -> DataFrame:
 class _Space:
     """Distances between sets named by their digests."""
 
-    def __init__(self, docs: DataFrame, info: DataFrame, n_info: int, percent: int):
+    def __init__(self, docs: DataFrame, info: DataFrame, size: int, percent: int):
         self.docs, self.percent = docs, percent
-        self.info = F.broadcast(info) if n_info <= _BROADCAST_ROWS else info
+        self.info = F.broadcast(info) if size <= _BROADCAST else info
         self.plain_info = info
 
     def measured(self, pairs: DataFrame) -> DataFrame:
@@ -287,9 +296,8 @@ class _Space:
             n = np.array(batch["n_a"], dtype=float) + np.array(batch["n_b"], dtype=float)
             least = np.abs(np.array(batch["n_a"], dtype=float) - np.array(batch["n_b"], dtype=float))
             if len(n):
-                left = np.frombuffer(b"".join(batch["s_a"]), np.uint8).reshape(len(n), -1)
-                right = np.frombuffer(b"".join(batch["s_b"]), np.uint8).reshape(len(n), -1)
-                least = np.maximum(least, np.bitwise_count(left ^ right).sum(axis=1))
+                apart = [differing(x, y) for x, y in zip(batch["s_a"], batch["s_b"], strict=True)]
+                least = np.maximum(least, np.array(apart))
             return {"a": batch["a"], "b": batch["b"], "low": 2 * least / (n + least)}
 
         bounded = table(map_batches(wide, bound, "a bigint, b bigint, low double"), "bounds")
@@ -310,7 +318,7 @@ class _Space:
         percent = self.percent
         asked = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         first = self.plain_info.join(asked, "digest", "left_semi").select("doc_id", F.col("digest").alias("want"))
-        if 2 * n_pairs <= 10 * _BROADCAST_ROWS:
+        if 2 * n_pairs * 16 <= _BROADCAST:
             first = F.broadcast(first)
 
         def rows(batch: dict[str, list]) -> dict[str, list]:
@@ -359,8 +367,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         .groupBy("digest", "n_shingles", "sketch")
         .agg(F.min("doc_id").alias("doc_id")),
         "sets-known",
+        size=F.sum(F.length("sketch") + 24),
     )
-    space = _Space(docs, info, seen["rows"], percent)
+    space = _Space(docs, info, seen.get("size") or 0, percent)
     shared = table(_shared(_region_rows(docs, percent, frequent)), "shared")
     members = table(_regions(shared), "regions")
     radius = (100 - percent) / 100
