@@ -151,16 +151,12 @@ def paf_rows(spark, sf):
 
 @query
 def contig_lengths(spark, sf):
-    """Documents written as FASTA in lines of 60 letters and measured."""
+    """Texts written as FASTA in lines of 60 letters and measured; what is no letter becomes N."""
     path = f"{shared_dir(spark)}/strandweave-fasta-{uuid.uuid4().hex}"
-    docs = fx.load(spark, sf, "documents").select("doc_id", "n_chars")
-    body = docs.select(
-        "doc_id",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("n_chars div 60"))).alias("i"),
-        "n_chars",
-    ).select(
-        "doc_id", "i", F.expr("repeat('A', int(least(60, n_chars - 60 * i)))").alias("value")
-    )
+    docs = fx.load(spark, sf, "documents").select("doc_id", "text")
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "N")
+    lines = F.regexp_extract_all(letters, F.lit(".{1,60}"), F.lit(0))
+    body = docs.select("doc_id", F.posexplode(lines).alias("i", "value")).withColumn("i", F.col("i").cast("bigint"))
     head = docs.select("doc_id", F.lit(-1).cast("bigint").alias("i"), F.concat(F.lit(">d"), F.col("doc_id").cast("string")).alias("value"))
     sinks.write_lines(head.unionByName(body), path, ["doc_id", "i"])
     return readers.contig_lengths(spark, path).groupBy("length").agg(F.count("*").alias("n_contigs"))
