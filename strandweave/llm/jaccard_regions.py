@@ -265,13 +265,15 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _regions(shared: DataFrame) -> DataFrame:
-    """One key for each different set of members."""
+    """One key for each different set of members, a rare shingle's if there is one: in a frequent one's
+    region the rare shingles of a pair count as not shared."""
     signed = shared.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"),
+        (F.max("rare") >= int(_FREQUENT)).alias("frequent"),
         F.bit_xor(F.xxhash64("digest")).alias("x"),
         F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y"),
     )
-    kept = signed.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    kept = signed.groupBy("size", "x", "y").agg(F.min_by("key", F.struct("frequent", "key")).alias("key")).select("key", "size")
     return shared.join(kept, "key")
 
 

@@ -194,6 +194,22 @@ def test_jaccard_regions(spark, odd, empty):
     assert Counter(map(tuple, jaccard_regions.jaccard_components(frame).collect())) == jaccard_brute(rows)
 
 
+def test_jaccard_keeps_the_region_of_a_rare_shingle(spark):
+    """b and c link, a links to neither and is the pivot of all regions the three share: those of 15
+    rare shingles and of 5 frequent ones."""
+    rows = []
+    for g in range(12):
+        x, q = [f"g{g}x{i}" for i in range(104)], [f"g{g}q{i}" for i in range(20)]
+        texts = [x[:80] + q, [*x[:103], "b"], [*x[:103], "c"]]
+        others = [x[15:80] + q] * 3 + [x[15:103]] * 3 + [x[20:103]] + [x[76:103]] * 10 + [x[76:80] + q] * 10
+        texts += [[f"g{g}o{n}w{i}" for i in range(200)] + o for n, o in enumerate(others)]
+        rows += [(len(rows) + n, " ".join(t)) for n, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    want = jaccard_brute(rows)
+    assert sum(d != c for d, _, c in want) == 12
+    assert Counter(map(tuple, jaccard_regions.jaccard_components(frame).collect())) == want
+
+
 def der(tag, body):
     return bytes([tag, len(body)]) + body
 
