@@ -3,7 +3,8 @@
 * The lexicon is learned: words, and word beginnings of 5 to 7 letters, whose document frequency
   in labelled toxic texts is far above that in clean ones. Its size is bounded by ``max_terms``.
 * A text's words meet the lexicon directly, by their beginning, or misspelled: a Levenshtein
-  automaton of the word (bit-parallel, one error) runs through the trie of the terms.
+  automaton of the word (bit-parallel, one error) runs through the trie of the terms. All whole
+  terms are in it but weak ones under 5 letters, as those are one error away from too many words.
 * Each hit is seen in its context: a window of words around it that adds up the weights of other
   hits, and whether it stands inside quotation marks or after a word of reporting.
 * A logistic regression on these few numbers gives the score.
@@ -31,6 +32,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = "\"“”„«»‘’‹›"
 _REPORTING = frozenset({"said", "wrote", "quoted", "called", "quote", "says", "write", "writes"})
 _WINDOW = 10
+#: weight above which a term is strong
+_STRONG = 3
 #: words a worker remembers; more are matched each time
 _LIMIT = 300_000
 
@@ -41,7 +44,7 @@ def _prefixes(word: str) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """Term weights, and tries of the strong whole words.
+    """Term weights, and tries of the whole words, those under 5 letters if they are strong.
 
     A single error leaves one half of a term untouched, so ``front`` holds, for each first half,
     the trie of the second halves, and ``back``, for each second half, the trie of the first
@@ -55,12 +58,12 @@ class Lexicon:
     met: dict[str, tuple[float, bool]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, weight: dict[str, float], fuzzy_terms: int = 400) -> "Lexicon":
-        whole = [t for t in weight if not t.endswith("*") and len(t) >= 5]
-        strong = sorted(whole, key=lambda t: (-weight[t], t))[:fuzzy_terms]
+    def build(cls, weight: dict[str, float], fuzzy_terms: int | None = None) -> "Lexicon":
+        whole = [t for t in weight if not t.endswith("*") and (len(t) >= 5 or weight[t] > _STRONG)]
+        tried = sorted(whole, key=lambda t: (-weight[t], t))[:fuzzy_terms]
         front: dict[str, dict] = {}
         back: dict[str, dict] = {}
-        for term in strong:
+        for term in tried:
             half = len(term) // 2
             for tries, key, rest in (
                 (front, term[:half], term[half:]),
@@ -70,7 +73,7 @@ class Lexicon:
                 for c in rest:
                     node = node.setdefault(c, {})
                 node[""] = term
-        return cls(weight, front, back, frozenset(len(t) + d for t in strong for d in (-1, 0, 1)))
+        return cls(weight, front, back, frozenset(len(t) + d for t in tried for d in (-1, 0, 1)))
 
     def __getstate__(self):
         return self.__dict__ | {"met": {}}
@@ -98,7 +101,7 @@ class Lexicon:
                 found = own, False
             else:
                 starts = [self.weight[p] for p in _prefixes(word) if p in self.weight]
-                term = self.misspelled(word) if len(word) in self.lengths and len(word) >= 5 else None
+                term = self.misspelled(word) if len(word) in self.lengths else None
                 if term is not None:
                     found = self.weight[term], True
                 else:
@@ -155,7 +158,7 @@ def features(lexicon: Lexicon, text: str | None) -> list[float]:
         aside += weight if reported else 0.0
         total += weight
         top = max(top, 0.0 if reported else near)
-        strong += weight > 3 and not wrong
+        strong += weight > _STRONG and not wrong
         fuzzy += wrong
     return [
         float(np.log1p(strong)),

@@ -290,6 +290,24 @@ def test_levenshtein_automaton():
         assert lexicon.misspelled(word) == max(near, key=lambda t: (lexicon.weight[t], t), default=None)
 
 
+def test_misspelled_short_terms_and_large_lexicon():
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(1200)}
+    weight = {t: rng.choice([1.5, 4.0]) + rng.random() for t in sorted(terms)}
+    lexicon = toxicity.Lexicon.build(weight)
+    tried = [t for t in weight if len(t) >= 5 or weight[t] > 3]
+    assert len(tried) > 800 and min(map(len, tried)) == 3
+    words = {t[:i] + c + t[k:] for t in tried[::5] for i in range(len(t)) for c in ("", "x", t[i]) for k in (i, i + 1)}
+    for word in sorted(words - terms):
+        near = [t for t in tried if one_error(word, t)]
+        assert lexicon.misspelled(word) == max(near, key=lambda t: (weight[t], t))
+        assert lexicon.look(word) == (weight[lexicon.misspelled(word)], True)
+    lexicon = toxicity.Lexicon.build({"scum": 7.3, "idiot": 7.4, "thin": 1.5})
+    for word in ("scm", "scumm", "skum", "idot", "diot", "idiott"):
+        assert lexicon.look(word)[1], word
+    assert lexicon.look("then") == (0.0, False)
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(2)
     plain = ["stone", "river", "green", "market", "window", "paper"]
