@@ -12,8 +12,9 @@ there is the bar it takes to all others. Only candidates that reach the bar leav
 Components become ``floor(256 * x)``; scores are whole numbers, exact below 2**53. Ties go to the
 smaller id, so equal vectors stay apart. Vectors that are null or hold null or non-finite
 components take no part; vectors of another length than the query score on no candidate list
-of it. A null id takes no part. Of repeated ids each row is a candidate, but none of the query's
-own id. An empty table gives no rows. Other columns are ignored.
+of it; those without components score 0 among themselves. A null id takes no part. As in the SQL, each
+row of a repeated id is a candidate, none for a query of its own id, and each is a query, their
+results ranked together. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ class KdTree:
         self.high.append(high)
         self.children.append(None)
         self.member.append(at)
-        if len(at) > _LEAF:
+        if len(at) > _LEAF and len(low):
             side = int((high - low).argmax())
             if high[side] > low[side]:  # else all rows are equal
                 order = at[np.argsort(own[:, side], kind="stable")]
@@ -142,7 +143,7 @@ def _trees(rows: list[tuple[int, list[int]]]) -> dict[int, KdTree]:
     for row in rows:
         by.setdefault(len(row[1]), []).append(row)
     return {
-        n: KdTree(np.array([i for i, _ in own]), np.array([v for _, v in own], dtype=float).reshape(-1, n))
+        n: KdTree(np.array([i for i, _ in own]), np.array([v for _, v in own], dtype=float).reshape(len(own), n))
         for n, own in by.items()
     }
 
@@ -152,7 +153,7 @@ def _answer(trees: dict[int, KdTree], ids, vectors, bars, k: int, out, block: in
         lengths = [len(v) for v in vectors[a : a + block]]
         for n in set(lengths) & set(trees):
             at = [a + i for i, m in enumerate(lengths) if m == n]
-            queries = np.array([vectors[i] for i in at], dtype=float).reshape(-1, n)
+            queries = np.array([vectors[i] for i in at], dtype=float).reshape(len(at), n)
             bounds = trees[n].bounds(queries)
             for i, query, bound in zip(at, queries, bounds, strict=True):
                 bar = -math.inf if bars[i] is None else bars[i]
@@ -175,7 +176,7 @@ def top_k(
     points = rows.select(home.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v").withColumn(
         "bar", F.lit(None).cast("bigint")
     )
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = rows.filter(F.col("vec_id") % every == 0)
 
     def search(asked: DataFrame) -> DataFrame:
         dealt = points.unionByName(asked).repartition(parts, "shard")
