@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandweave.plans.settle import settle, table
 
@@ -98,4 +105,47 @@ def prefix_sum(
     )
 
 
-__all__ = ["prefix_sum", "settle", "weighted_cut", "with_index"]
+def running(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the same ``key`` that come before in ``order``.
+
+    ``key`` and ``value`` must not be null. One key may hold any share of the rows: they are range
+    partitioned by key and order, each task streams over its sorted rows with one number carried, and
+    a key that goes on in a later partition is continued by one carry row there. As partitions are
+    ranges, only the first key of a partition can have a carry, so there are fewer carries than
+    partitions, however many rows and keys there are. Rows that ``order`` leaves equal follow each other in any order.
+    """
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    target = StructType([*df.schema.fields, StructField("_part", LongType()), StructField(name, LongType())])
+    arrow = to_arrow_schema(target)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carry = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(key).dictionary_encode()
+            runs = codes.indices.to_numpy(zero_copy_only=False)
+            sizes = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            starts = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+            base = np.repeat(before[starts], np.diff(np.append(starts, len(runs))))
+            before = before - base
+            keys = codes.dictionary
+            if keys[runs[0]].as_py() == last:
+                before[: starts[1] if len(starts) > 1 else len(runs)] += carry
+            last, carry = keys[runs[-1]].as_py(), int(before[-1] + sizes[-1])
+            columns = [*batch.columns, pa.array(np.full(len(runs), part)), pa.array(before)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    done = table(ranged.mapInArrow(scan, target), f"running-{name}")
+    sums = done.groupBy("_part", key).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carries = sums.select("_part", key, F.sum("_sum").over(earlier).alias("_carry")).filter("_carry > 0")
+    return (
+        done.join(F.broadcast(carries), ["_part", key], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
+        .drop("_part", "_carry")
+    )
+
+
+__all__ = ["prefix_sum", "running", "settle", "weighted_cut", "with_index"]
