@@ -259,9 +259,9 @@ def test_small_broadcasts_change_nothing(spark):
     words = brute_words(spelled_rows())
     df = spark.createDataFrame(list(words.items()), "word string, n bigint")
     want = sorted((a, words[a], b, words[b]) for a in words for b in words if one_edit(a, b))
-    plan = spelling.filter_plan(Counter(map(len, words)), 16, 128)
+    plan = spelling.filter_plan(Counter(map(len, words)), 16, 64)
     assert len(plan) > 3 and any(parts > 1 for batch in plan for _, _, parts, _ in batch)
-    for bits, batch_bytes in ((16, 128), (1, 64), (16, 16 << 20)):
+    for bits, batch_bytes in ((16, 64), (1, 64), (16, 16 << 20)):
         got = spelling.near_pairs(df, bits, batch_bytes).collect()
         assert sorted(map(tuple, got)) == want
 
