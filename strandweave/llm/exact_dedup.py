@@ -20,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import without
-from strandweave.plans.settle import settle
+from strandweave.llm.common import keep_rows
+from strandweave.plans.settle import settle, table
 
 _OUT = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
 
@@ -49,10 +49,9 @@ def exact_duplicates(docs: DataFrame, salts: int = 32) -> DataFrame:
 
     Of equal texts the row with the largest ``doc_id`` stays. An empty table gives no rows.
     """
-    groups = text_groups(docs, salts)
-    copied, _ = settle(
-        groups.filter("group_size > 1").select("digest", "keep_id", "group_size"), "copies"
-    )
+    # the texts are shuffled once; what is written names them by digest
+    groups = table(text_groups(docs, salts).select("digest", "keep_id", "group_size"), "texts")
+    copied = groups.filter("group_size > 1")
     # a digest with two texts would have two rows among all groups
     doubled, seen = settle(
         groups.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"),
@@ -88,9 +87,8 @@ def exact_duplicates(docs: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, salts: int = 32) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Rows with a null id stay too: no other
-    row can name them."""
+    """One row of each text of ``docs``, with all its columns: that of the largest id, of rows equal in id and
+    text any one. A row with a null id stays only where no row of its text has an id."""
     found = exact_duplicates(docs.select("doc_id", "text"), salts)
-    dropped = found.filter(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("_sha256"))
-    named = docs.withColumn("_sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    return without(named, dropped.distinct(), ["doc_id", "_sha256"], "dropped").drop("_sha256")
+    named = found.select("doc_id", F.col("text_sha256").alias("text_key"), "kept")
+    return keep_rows(docs, named, "copies", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
