@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +48,10 @@ _BLOCK = frozenset(
 #: an open element of the key ends where one of these begins
 _ENDS = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"},
          "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+_ENDED_BY: dict[str, list[str]] = {}
+for _open, _names in _ENDS.items():
+    for _name in _names:
+        _ENDED_BY.setdefault(_name, []).append(_open)
 _AROUND = frozenset(
     "ad ads advert advertisement sponsored promo banner sidebar nav navigation menu breadcrumb breadcrumbs footer header "
     "cookie cookies notice consent popup comment comments reply replies discussion related share social newsletter "
@@ -68,8 +73,23 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return out
     stack: list[tuple[str, tuple[str, ...]]] = []
+    # what is open, counted as it is opened and closed: tags that tell something, and names
+    tags: Counter[str] = Counter()
+    names: Counter[str] = Counter()
+    around: list[str] = [""]  # the open block elements
     parts: list[str] = []
     linked = 0
+
+    def close(to: int) -> None:
+        for tag, own in stack[to:]:
+            for count, keys in ((tags, (tag,)), (names, own)):
+                for key in keys:
+                    count[key] -= 1
+                    if not count[key]:
+                        del count[key]
+            if tag in _BLOCK:
+                around.pop()
+        del stack[to:]
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -81,25 +101,24 @@ def blocks(page: str | None) -> list[Block]:
                 raw = entities.unescape(raw)
             text = " ".join(raw.split())
             if text:
-                out.append(_block(text, stack, linked))
+                out.append(_block(text, tags, names, around[-1], linked))
         linked = 0
 
-    in_link = 0
     while at < end:
         start = page.find("<", at)
         if start < 0:
             start = end
         if start > at:
             parts.append(page[at:start])
-            if in_link:
+            if tags["a"]:
                 linked += start - at
         if start == end:
             break
         m = _TAG.match(page, start)
         if m is None:
             if re.match(r"</?[a-zA-Z]", page[start : start + 3]):  # a tag that never ends well
-                close = page.find(">", start)
-                at = end if close < 0 else close + 1
+                ending = page.find(">", start)
+                at = end if ending < 0 else ending + 1
             else:
                 parts.append("<")
                 at = start + 1
@@ -111,25 +130,24 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             if name in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if tags[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if name not in _BLOCK and stack[i][0] in _BLOCK:
                     break
-            in_link = sum(1 for t, _ in stack if t == "a")
             continue
         if name in _RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
+            ending = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(page, at)
             if name in ("textarea", "select", "svg"):
                 parts.append(" ")
-            at = close.end() if close else (end if name != "head" else at)
+            at = ending.end() if ending else (end if name != "head" else at)
             continue
         if name in _BLOCK:
             flush()
-            for i in range(len(stack) - 1, max(-1, len(stack) - 12), -1):
+            for i in range(len(stack) - 1, -1, -1) if any(tags[t] for t in _ENDED_BY.get(name, ())) else ():
                 if name in _ENDS.get(stack[i][0], ()):
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in ("table", "ul", "ol", "div", "article", "section", "td"):
                     break
@@ -142,7 +160,10 @@ def blocks(page: str | None) -> list[Block]:
                     w.lower() for x in _NAMED.finditer(m[3]) for w in _PART.findall(x[1] or x[2] or x[3] or "")
                 )
             stack.append((name, own))
-            in_link += name == "a"
+            tags[name] += 1
+            names.update(own)
+            if name in _BLOCK:
+                around.append(name)
     flush()
     for i, block in enumerate(out):
         block.features.append(f"from:{min(i, 4)}")
@@ -150,12 +171,10 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def _block(text: str, stack: list[tuple[str, tuple[str, ...]]], linked: int) -> Block:
-    tags = frozenset(t for t, _ in stack)
-    names = frozenset(w for _, own in stack for w in own)
+def _block(text: str, open_tags: Counter[str], open_names: Counter[str], parent: str, linked: int) -> Block:
+    tags, names = frozenset(open_tags), frozenset(open_names)
     found = [f"in:{t}" for t in tags if t in _BLOCK or t == "a"]
     found += [f"named:{w}" for w in names]
-    parent = next((t for t, _ in reversed(stack) if t in _BLOCK), "")
     words = text.count(" ") + 1
     found.append(f"parent:{parent}")
     found.append(f"words:{min(words.bit_length(), 8)}")

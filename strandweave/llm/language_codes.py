@@ -7,7 +7,8 @@ loss of its code bit against that margin, weighted by how far the bit's halves l
 training; the codeword with the least loss wins. Two codewords with nearly the same loss mark
 the answer as ambiguous.
 
-Training counts trigrams of all training rows and keeps one number per language and bucket.
+Training counts trigrams of all training rows and keeps one number per language and bucket. Trigrams are
+those of one text each, so the model does not depend on how rows are dealt to batches and partitions.
 With no usable training row every text is ``und``. Text that is null or has no letter is ``und``
 with score 0. Repeated rows give repeated rows, an empty table none. Other columns are ignored.
 """
@@ -70,7 +71,13 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
             for text in texts:
                 n += np.bincount(buckets(text), minlength=BUCKETS) if len(text) > BUCKETS else 0
             short = [t for t in texts if len(t) <= BUCKETS]
-            n += np.bincount(buckets(b"\n".join(short)), minlength=BUCKETS)
+            met = buckets(b"\n".join(short))
+            # no trigram reaches over the end of a text
+            ends = np.cumsum([len(t) + 1 for t in short])[:-1] - 1
+            over = (ends[:, None] + np.arange(-2, 1)).ravel()
+            own = np.ones(len(met), bool)
+            own[over[(over >= 0) & (over < len(met))]] = False
+            n += np.bincount(met[own], minlength=BUCKETS)
             at = np.flatnonzero(n)
             out["lang"] += [lang] * len(at)
             out["bucket"] += at.tolist()

@@ -1,12 +1,13 @@
 """Toxicity scores from a lexicon that also matches misspelled terms, in context.
 
 * The lexicon is learned: words, and word beginnings of 5 to 7 letters, whose document frequency
-  in labelled toxic texts is far above that in clean ones. Its size is bounded by ``max_terms``.
+  in labelled toxic texts is far above that in clean ones: all of them, so that its size is bounded by
+  the labelled rows' words.
 * A text's words meet the lexicon directly, by their beginning, or misspelled: a Levenshtein
   automaton of the word (bit-parallel, one error) runs through the trie of the terms. All whole
   terms are in it but weak ones under 5 letters, as those are one error away from too many words.
 * Each hit is seen in its context: a window of words around it that adds up the weights of other
-  hits, and whether it stands inside quotation marks or after a word of reporting.
+  hits, and whether it stands inside quotation marks, however long the quotation, or after a word of reporting.
 * A logistic regression on these few numbers gives the score.
 
 Labels are learned from at most ``max_rows`` labelled rows, in the order of a hash of the id.
@@ -178,9 +179,9 @@ def _quoted(text: str, words: set[str]) -> set[str]:
         return set()
     low = text.lower()
     inside = {
-        w for part in re.findall(r"[\"“„«][^\"”“«»]{1,400}[\"”“»]", low) for w in _WORD.findall(part)
+        w for part in re.findall(r"[\"“„«][^\"”“«»]+[\"”“»]", low) for w in _WORD.findall(part)
     }
-    outside = set(_WORD.findall(re.sub(r"[\"“„«][^\"”“«»]{1,400}[\"”“»]", " ", low)))
+    outside = set(_WORD.findall(re.sub(r"[\"“„«][^\"”“«»]+[\"”“»]", " ", low)))
     return (inside - outside) & words
 
 
@@ -235,7 +236,6 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_rows: int = 12_000,
-    max_terms: int = 4_000,
     least: int = 4,
     odds: float = 4.0,
 ) -> Model:
@@ -259,13 +259,11 @@ def fit(
         term_counts(rows)
         .withColumn("weight", F.log(ratio))
         .filter((F.col("bad") >= least) & (ratio >= odds))
-        .orderBy(F.desc("weight"), "term")
-        .limit(max_terms)
         .select("term", "weight")
         .collect()
     )
     lexicon = Lexicon.build({r["term"]: float(r["weight"]) for r in best})
-    shared = spark.sparkContext.broadcast(lexicon)  # max_terms entries
+    shared = spark.sparkContext.broadcast(lexicon)  # words of max_rows texts
 
     def measure(batch: dict[str, list]) -> dict[str, list]:
         return {
