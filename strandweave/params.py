@@ -33,6 +33,7 @@ class Params:
     completion_rounds: int = 1
     completion_min_alignment_len: int = 2000
     completion_min_identity: float = 0.8
+    completion_end_slack: int = 500
 
     def __post_init__(self) -> None:
         if self.coords not in ("observed", "coclip"):

@@ -362,7 +362,7 @@ steps2 AS (
   UNION ALL SELECT xor(dst, 1), xor(src, 1), edge_len, overlap_len, identity FROM one_way)
 """
 PARTG = STEPS + """,
-edges AS (
+edges AS MATERIALIZED (
   SELECT src, dst, edge_len, overlap_len, identity FROM (
     SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY overlap_len DESC, identity DESC, edge_len) AS k
     FROM steps2) WHERE k = 1),
@@ -568,8 +568,10 @@ UNION SELECT src, dst, edge_len FROM edges""",
     ranked_edges=_with(PARTG)
     + "SELECT src, dst, edge_len, row_number() OVER (PARTITION BY src ORDER BY edge_len, dst) AS edge_rank FROM edges",
     transitive_candidates=_with(PARTG)
-    + """SELECT x.src AS n1, x.dst AS n2, y.dst AS n3, x.edge_len AS len12, y.edge_len AS len23, z.edge_len AS len13
-FROM edges x JOIN edges y ON y.src = x.dst JOIN edges z ON z.src = x.src AND z.dst = y.dst""",
+    + """, hops AS MATERIALIZED (
+  SELECT x.src AS n1, x.dst AS n2, y.dst AS n3, x.edge_len AS len12, y.edge_len AS len23
+  FROM edges x JOIN edges y ON y.src = x.dst)
+SELECT n1, n2, n3, len12, len23, edge_len AS len13 FROM hops JOIN edges ON src = n1 AND dst = n3""",
     transitive_reduce=_with(F1G, _transitive("edges", "slim")) + _NAMED.format("slim"),
     transitive_reduce_dense=_with(PARTG, _transitive("edges", "slim")) + f"SELECT {_EDGE_COLS} FROM slim",
     multi_edge_dedup=_with(PARTG) + f"SELECT {_EDGE_COLS} FROM edges",
@@ -579,15 +581,15 @@ FROM edges x JOIN edges y ON y.src = x.dst JOIN edges z ON z.src = x.src AND z.d
         """ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY identity DESC, edge_len, dst) AS k FROM edges),
 weak AS (SELECT src AS s, dst AS t FROM ranked WHERE k > 1)""",
     )
-    + f"""SELECT {_EDGE_COLS} FROM edges e WHERE NOT EXISTS (
-  SELECT 1 FROM (SELECT s, t FROM weak UNION SELECT xor(t, 1), xor(s, 1) FROM weak) d WHERE d.s = e.src AND d.t = e.dst)""",
+    + f""", doomed AS MATERIALIZED (SELECT s, t FROM weak UNION SELECT xor(t, 1), xor(s, 1) FROM weak)
+SELECT {_EDGE_COLS} FROM edges LEFT JOIN doomed ON s = src AND t = dst WHERE s IS NULL""",
     weak_edge_removal_one_sided=_with(
         PARTG,
         """ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY identity DESC, edge_len, dst) AS k FROM edges),
 weak AS (SELECT src AS s, dst AS t FROM ranked WHERE k > 1)""",
     )
-    + f"""SELECT {_EDGE_COLS} FROM edges e WHERE NOT EXISTS (
-  SELECT 1 FROM (SELECT s, t FROM weak UNION SELECT t, s FROM weak) d WHERE d.s = e.src AND d.t = e.dst)""",
+    + f""", doomed AS MATERIALIZED (SELECT s, t FROM weak UNION SELECT t, s FROM weak)
+SELECT {_EDGE_COLS} FROM edges LEFT JOIN doomed ON s = src AND t = dst WHERE s IS NULL""",
     degree_histogram=_with(PARTG, DEGREES)
     + """SELECT 'in' AS direction, n_in AS degree, count(*) AS n_nodes FROM deg GROUP BY n_in
 UNION ALL SELECT 'out', n_out, count(*) FROM deg GROUP BY n_out""",
