@@ -19,8 +19,8 @@ boundary. Pivots are therefore drawn where sets agree:
    component need no test, and links of a round join components for the next one.
 
 Distances in 2 to 4 are compared on parity sketches of 1024 bits: the bits in which two sketches
-differ are a metric of their own, and at least one shingle each that only one set has. What the sketches do not
-exclude is measured exactly, on the whole sets. So no pair of texts within the radius is lost, and a region of near
+differ are a metric of their own, and at least one shingle each that only one set has. Pairs of long sets are then compared on
+sketches as long as the sets. What the sketches do not exclude is measured exactly, on the whole sets. So no pair of texts within the radius is lost, and a region of near
 copies costs a few pairs a member. Equal sets are one member. Sets are named by 64 bits; where two sets of
 one name differ in a second hash of 64 bits, their names are made from that one.
 
@@ -50,6 +50,8 @@ WORDS = 5
 #: 64-bit words of a parity sketch
 _SKETCH = 16
 _BITS = [f"s{i}" for i in range(_SKETCH)]
+#: sets above this size also have a sketch of about as many bits as they have shingles
+_LONG = 1500
 #: pivots of the first round of joins, and how many times as many each further one has
 _FIRST, _MORE = 32, 16
 #: members above which a region is cut into cells, and pivots that cut it
@@ -127,6 +129,23 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def long_sketch(found: np.ndarray) -> bytes | None:
+    """The same with about as many bits as the set has shingles, of long sets alone."""
+    if len(found) <= _LONG:
+        return None
+    bits = 1 << (len(found) - 1).bit_length()
+    odd = np.bincount((found % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def differing(left: bytes, right: bytes) -> int:
+    """Bits in which two long sketches differ; the longer one is folded to the shorter one's bits."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def apart(left: str, right: str) -> str:
     """SQL: the bits in which the sketches of two sides differ."""
     return " + ".join(f"bit_count({left}.{b} ^ {right}.{b})" for b in _BITS)
@@ -147,7 +166,7 @@ def named(found: np.ndarray, frequent: np.ndarray, n: np.ndarray, percent: int)
 _FREQUENT = np.int32(1 << 30)
 _KNOWN = "doc_id bigint, text_key bigint, n_shingles bigint, digest bigint, second bigint, " + ", ".join(
     f"{b} bigint" for b in _BITS
-) + ", met bigint"
+) + ", long binary, met bigint"
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -158,7 +177,7 @@ def described(docs: DataFrame) -> DataFrame:
     def rows(batch: dict[str, list]) -> dict[str, list]:
         n = len(batch["doc_id"])
         out: dict[str, list] = {"doc_id": batch["doc_id"], "text_key": batch["text_key"], "met": [None] * n}
-        out |= {k: [] for k in ("n_shingles", "digest", "second", *_BITS)}
+        out |= {k: [] for k in ("n_shingles", "digest", "second", "long", *_BITS)}
         different: dict[int, np.ndarray] = {}
         for text in batch["text"]:
             found = shingles(text)
@@ -166,6 +185,7 @@ def described(docs: DataFrame) -> DataFrame:
             out["n_shingles"].append(len(found))
             out["digest"].append(own)
             out["second"].append(digest(found, 1))
+            out["long"].append(long_sketch(found))
             bits = sketch(found).tolist() if own is not None else [None] * _SKETCH
             for name, value in zip(_BITS, bits):
                 out[name].append(value)
@@ -176,7 +196,7 @@ def described(docs: DataFrame) -> DataFrame:
             value, count = value[count > 1], count[count > 1]
             out["digest"] += value.view(np.int64).tolist()
             out["met"] += count.tolist()
-            for name in ("doc_id", "text_key", "n_shingles", "second", *_BITS):
+            for name in ("doc_id", "text_key", "n_shingles", "second", "long", *_BITS):
                 out[name] = out[name] + [None] * len(value)
         return out
 
@@ -318,11 +338,32 @@ class _Space:
         wide = pairs.join(side.alias("p"), F.col("a") == F.col("p.digest")).join(
             side.alias("q"), (F.col("b") == F.col("q.digest")) & F.expr(self.may_link("p", "q"))
         )
-        return wide.select("a", "b")
+        return wide.select("a", "b", F.least("p.n_shingles", "q.n_shingles").alias("least"))
+
+    def _long(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of long sets whose long sketches do not keep them apart."""
+        percent = self.percent
+        side = lambda x: self.info.filter(F.col("long").isNotNull()).select(
+            F.col("digest").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("long").alias(f"l_{x}")
+        ).hint("merge")
+
+        def compare(batch: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {"a": [], "b": []}
+            for a, b, n, m, x, y in zip(*[batch[k] for k in ("a", "b", "n_a", "n_b", "l_a", "l_b")], strict=True):
+                if differing(x, y) * (100 + percent) <= (n + m) * (100 - percent):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            return out
+
+        return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), compare, "a bigint, b bigint")
 
     def links(self, pairs: DataFrame, label: str) -> tuple[DataFrame, int]:
         """Those of the pairs ``a, b`` that link, 100 * both >= percent * either, by their whole sets."""
-        near, seen = settle(pairs, f"{label}-near")
+        near, seen = settle(pairs, f"{label}-near", long=F.count_if(F.col("least") > _LONG))
+        if seen.get("long"):
+            short = near.filter(F.col("least") <= _LONG).select("a", "b")
+            near, seen = settle(short.unionByName(self._long(near.filter(F.col("least") > _LONG))), f"{label}-nearer")
+        near = near.select("a", "b")
         if not seen["rows"]:
             return near, 0
         percent, clashing = self.percent, self.clashing
@@ -343,8 +384,8 @@ class _Space:
             return out
 
         texts = self.docs.select("doc_id", "text").join(first, self.docs["doc_id"].eqNullSafe(first["doc_id"]))
-        sets = table(map_batches(texts.select("text", "want"), rows, "digest bigint, members binary"), f"{label}-sets")
-        sets = sets.dropDuplicates(["digest"]).hint("merge")
+        found = map_batches(texts.select("text", "want"), rows, "digest bigint, members binary")
+        sets = table(found.dropDuplicates(["digest"]), f"{label}-sets").hint("merge")
         side = lambda x: sets.select(F.col("digest").alias(x), F.col("members").alias(f"m_{x}"))
         wide = near.join(side("a"), "a").join(side("b"), "b")
 
@@ -474,7 +515,11 @@ def _joined(live: DataFrame, space: _Space, low: int, high: int) -> DataFrame:
             )
             & F.expr(space.may_link("p", "q")),
         )
-        .select(F.least("p.digest", "q.digest").alias("a"), F.greatest("p.digest", "q.digest").alias("b"))
+        .select(
+            F.least("p.digest", "q.digest").alias("a"),
+            F.greatest("p.digest", "q.digest").alias("b"),
+            F.least("p.n_shingles", "q.n_shingles").alias("least"),
+        )
         .distinct()
     )
 
@@ -487,7 +532,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     frequent = frequent_shingles(known, counted.get("docs") or 0)
     sets = rows.filter(F.col("digest").isNotNull()).groupBy("digest", "second")
     info = table(
-        sets.agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), *[F.first(b).alias(b) for b in _BITS]),
+        sets.agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), *[F.first(b).alias(b) for b in (*_BITS, "long")]),
         "sets",
     )
     # some ten names among ten billion sets
