@@ -72,36 +72,41 @@ def weighted_cut(df: DataFrame, key: Column, weight: Column, target: int) -> tup
 
 
 def prefix_sum(
-    df: DataFrame, keys: list[str], pos: str, value: str, span: int = 4096
+    df: DataFrame, keys: list[str], pos: str, value: str, span: int = 4096, levels: int = 2
 ) -> DataFrame:
     """Add ``running`` (inclusive sum of ``value`` by ``pos``) and ``next_pos`` per key.
 
-    ``(keys, pos)`` must be unique. A key may be arbitrarily long: positions are cut into
-    blocks of ``span``, windows run inside one block or over one row per block.
+    ``(keys, pos)`` must be unique. A key may be arbitrarily long: positions are cut into blocks of ``span``, the
+    blocks' sums into blocks of blocks, and so on for ``levels``; a window runs inside one block or, at the top, over one
+    row for each ``span ** levels`` positions.
     """
-    blocked = df.withColumn("_blk", F.floor(F.col(pos) / F.lit(span)).cast("bigint"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy(pos)
-    local = blocked.withColumn(
-        "_local", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_next", F.lead(pos).over(inside))
-    # taken from the windowed rows, whose partitioning this aggregate can reuse
-    per_block = local.groupBy(*keys, "_blk").agg(
-        F.sum(value).alias("_sum"), F.min(pos).alias("_min")
-    )
-    over = Window.partitionBy(*keys).orderBy("_blk")
-    carry = per_block.select(
-        *keys,
-        "_blk",
-        F.coalesce(
-            F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_carry"),
-        F.lead("_min").over(over).alias("_after"),
+    return _scanned(df, [*keys], pos, value, pos, span, levels).withColumnRenamed("_head", "next_pos")
+
+
+def _scanned(df: DataFrame, keys: list[str], pos: str, value: str, head: str, span: int, levels: int) -> DataFrame:
+    """Add ``running`` and ``_head``, the ``head`` of the key's next row."""
+    level = f"_{levels}"
+    block, total, first, local, after = (f"{n}{level}" for n in ("_blk", "_sum", "_first", "_local", "_after"))
+    if not levels:
+        over = Window.partitionBy(*keys).orderBy(pos)
+        return df.withColumn(
+            "running", F.sum(value).over(over.rowsBetween(Window.unboundedPreceding, 0))
+        ).withColumn("_head", F.lead(head).over(over))
+    inside = Window.partitionBy(*keys, block).orderBy(pos)
+    rows = (
+        df.withColumn(block, F.floor(F.col(pos) / F.lit(span)).cast("bigint"))
+        .withColumn(local, F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn(after, F.lead(head).over(inside))
     )
+    # taken from the windowed rows, whose partitioning this aggregate can reuse
+    blocks = rows.groupBy(*keys, block).agg(F.sum(value).alias(total), F.min_by(head, pos).alias(first))
+    above = _scanned(blocks, keys, block, total, first, span, levels - 1)
+    carry = above.select(*keys, block, (F.col("running") - F.col(total)).alias("_carry"), "_head")
     return (
-        local.join(carry, [*keys, "_blk"])
-        .withColumn("running", F.col("_local") + F.col("_carry"))
-        .withColumn("next_pos", F.coalesce("_next", "_after"))
-        .drop("_blk", "_local", "_next", "_carry", "_after")
+        rows.join(carry, [*keys, block])
+        .withColumn("running", F.col(local) + F.col("_carry"))
+        .withColumn("_head", F.coalesce(after, "_head"))
+        .drop(block, local, after, "_carry")
     )
 
 

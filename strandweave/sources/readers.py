@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.plans.ordering import prefix_sum
-from strandweave.sources.lines import numbered_lines
+from strandweave.sources.ranges import RANGE_BYTES, read_ranges
 
 PAF_FIELDS = [
     ("qname", "string"),
@@ -24,23 +23,17 @@ PAF_FIELDS = [
 ]
 
 
-def read_fastq(spark: SparkSession, path: str | list[str], strict: bool = True) -> DataFrame:
+def read_fastq(
+    spark: SparkSession, path: str | list[str], strict: bool = True, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """``reads(rec_no, name, header, seq, plus, qual)`` from 4-line records.
 
     ``name`` is the first word of the header without its ``@``. With ``strict`` a header
     without ``@`` or a record without a sequence line fails the job. A file holds whole
-    records; ``rec_no`` follows file order, then position.
+    records; ``rec_no`` follows file order, then position. Files are read by ranges of whole records, so texts stay where
+    they are read.
     """
-    lines = numbered_lines(spark, path).withColumns(
-        {"rec": F.expr("line_no div 4"), "part": F.expr("line_no % 4")}
-    )
-
-    def line(k: int) -> Column:
-        return F.max(F.when(F.col("part") == k, F.col("value")))
-
-    records = lines.groupBy("file", "rec").agg(
-        line(0).alias("header"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("qual")
-    )
+    records, ranges = read_ranges(spark, path, "records", range_bytes)
     if strict:
         sound = F.col("header").startswith("@") & F.col("seq").isNotNull()
         records = records.withColumn(
@@ -49,10 +42,10 @@ def read_fastq(spark: SparkSession, path: str | list[str], strict: bool = True)
                 F.raise_error(F.concat(F.lit("malformed FASTQ record: "), F.coalesce("header", F.lit(""))))
             ),
         )
-    # records per file are counted first, so numbers of later files follow earlier ones
-    files = lines.groupBy("file").agg(F.max("rec").alias("last"))
+    # one row for each file: records of later files follow earlier ones
+    files = ranges.groupBy("file").agg(F.ceil(F.sum("n_lines") / 4).cast("bigint").alias("n"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    shift = files.select("file", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("shift"))
+    shift = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     return records.join(shift, "file").select(
         (F.col("rec") + F.col("shift")).alias("rec_no"),
         F.split(F.regexp_replace("header", "^@", ""), r"\s+")[0].alias("name"),
@@ -115,29 +108,21 @@ def parse_paf_spans(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_paf(spark: SparkSession, path: str | list[str], form: str = "strict") -> DataFrame:
+def read_paf(
+    spark: SparkSession, path: str | list[str], form: str = "strict", range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """Alignment rows of PAF files; ``line_no`` is the number of the line in its file."""
     parse = {"strict": parse_paf, "loose": parse_paf_loose, "spans": parse_paf_spans}[form]
-    return parse(numbered_lines(spark, path))
-
+    return parse(read_ranges(spark, path, "lines", range_bytes)[0])
 
-def contig_lengths(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(file, contig, length)`` of a FASTA file; contigs without bases are left out."""
-    lines = numbered_lines(spark, path).withColumn("is_header", F.trim("value").startswith(">"))
-    return _contigs(lines).filter("length > 0")
 
+def contig_lengths(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``(file, contig, length)`` of a FASTA file; contigs without bases are left out.
 
-def _contigs(lines: DataFrame) -> DataFrame:
-    """Sum line lengths per contig; the header count runs block-wise over line numbers."""
-    marked = lines.select(
-        "file", "line_no", F.col("is_header").cast("bigint").alias("h"),
-        F.when(F.col("is_header"), 0).otherwise(F.length(F.trim("value"))).cast("bigint").alias("n"),
-    )
-    placed = prefix_sum(marked, ["file"], "line_no", "h")
-    return (
-        placed.filter("running > 0")
-        .groupBy("file", F.col("running").alias("contig"))
-        .agg(F.sum("n").alias("length"))
-    )
+    Ranges give the bases they hold of each contig, and only these numbers are added up.
+    """
+    parts, _ = read_ranges(spark, path, "contigs", range_bytes)
+    return parts.groupBy("file", "contig").agg(F.sum("length").alias("length")).filter("length > 0")
 
 
 def write_overlaps(overlaps: DataFrame, path: str) -> None:

@@ -1,5 +1,5 @@
-"""Text sinks. Lines are range-partitioned by their place, so the part files, taken in
-order, are the file; no task holds more than its own stretch."""
+"""Text sinks. Rows are range-partitioned by their place, so the part files, taken in
+order, are the file; no task holds more than its own stretch, not of a line either."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.unitigs import sequence_chunks
+from strandweave.sources.writer import write_stretches
 
 # fixed values: node colours by out-degree
 _COLOURS = [(0, "gray"), (1, "black"), (2, "blue"), (5, "orange")]
@@ -51,45 +52,43 @@ def _tabbed(*parts) -> Column:
     return F.concat_ws("\t", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-#: more bases than a string can hold
-_WHOLE = 1 << 31
-
-
 def gfa_lines(
     sizes: DataFrame,
     edges: DataFrame,
     placed: DataFrame,
     pieces: DataFrame | None = None,
+    width: int = 10_000,
 ) -> DataFrame:
-    """``(section, a, b, value)``: header, segments, circular links, links, read lines.
+    """``(section, a, b, part, value, open)``: header, segments, circular links, links, read lines.
 
-    A segment line holds all bases of its unitig; without ``pieces`` it has ``*`` and the length.
+    A segment line holds all bases of its unitig; without ``pieces`` it has ``*`` and the length. With them it is
+    several rows, all but the last one ``open``: its beginning, ``width`` bases each, and its end, so that no row
+    or group grows with a unitig.
     """
     zero = F.lit(0).cast("bigint")
 
-    def section(k: int, df: DataFrame, a: Column, b: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(k).alias("section"), a.alias("a"), b.alias("b"), value.alias("value"))
+    def section(
+        k: int, df: DataFrame, a: Column, b: Column, value: Column, part: Column = zero, more: bool = False
+    ) -> DataFrame:
+        return df.select(
+            F.lit(k).alias("section"), a.alias("a"), b.alias("b"), part.cast("bigint").alias("part"), value.alias("value"),
+            F.lit(more).alias("open"),
+        )
 
     named = sizes.withColumn("name", _name("unitig_id", "topology"))
-    header = sizes.sparkSession.range(1).select(
-        F.lit(0).alias("section"), zero.alias("a"), zero.alias("b"), F.lit("H\tVN:Z:1.0").alias("value")
-    )
     uid = F.col("unitig_id")
+    rows = section(0, sizes.sparkSession.range(1), zero, zero, F.lit("H\tVN:Z:1.0"))
     if pieces is None:
-        short = named.select("unitig_id", F.lit(None).cast("string").alias("seq")).limit(0)
+        length = F.concat(F.lit("LN:i:"), F.col("length").cast("string"))
+        rows = rows.unionByName(section(1, named, uid, zero, _tabbed("S", F.col("name"), "*", length)))
     else:
-        # one stretch per unitig: a line of GFA is one row, whatever its length
-        short = sequence_chunks(pieces, _WHOLE).select("unitig_id", "seq")
-    segments = named.join(short, "unitig_id", "left")
-    length_tag = F.concat(F.lit("LN:i:"), F.col("length").cast("string"))
-    rows = header.unionByName(
-        section(
-            1, segments, uid, zero,
-            F.when(F.col("seq").isNull(), _tabbed("S", F.col("name"), "*", length_tag)).otherwise(
-                _tabbed("S", F.col("name"), F.col("seq"))
-            ),
+        chunks = sequence_chunks(pieces, width)
+        begin = F.concat(_tabbed("S", F.col("name")), F.lit("\t"))
+        rows = (
+            rows.unionByName(section(1, named, uid, zero, begin, F.lit(-1), True))
+            .unionByName(section(1, chunks, uid, zero, F.col("seq"), F.col("chunk"), True))
+            .unionByName(section(1, named, uid, zero, F.lit(""), F.lit((1 << 62))))
         )
-    )
     for turn, strand in enumerate("+-"):
         rows = rows.unionByName(
             section(
@@ -123,7 +122,7 @@ def gfa_lines(
 
 
 def write_gfa(path: str, *tables: DataFrame, **options) -> None:
-    write_lines(gfa_lines(*tables, **options), path, ["section", "a", "b", "value"])
+    write_stretches(gfa_lines(*tables, **options), path, ["section", "a", "b", "part", "value"])
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:

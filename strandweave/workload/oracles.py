@@ -493,6 +493,22 @@ _CLASS_COLS = "qname, tname, line_no, b1, e1, l1, b2, e2, l2, class"
 _EDGE_COLS = "src, dst, edge_len, overlap_len, identity"
 _NAMED = "SELECT a.node_id AS source, b.node_id AS sink, edge_len, overlap_len, identity FROM {} JOIN nodes a ON a.nid = src JOIN nodes b ON b.nid = dst"
 
+_LINKS = (
+    """home AS (SELECT node AS nid, min(unitig_id) AS u FROM members GROUP BY node),
+ends AS (SELECT nid, u, CASE WHEN nid = first THEN '+' ELSE '-' END AS ori FROM home JOIN utgs ON unitig_id = u),
+ulinks AS (
+  SELECT a.u AS from_id, b.u AS to_id, a.ori AS from_ori, b.ori AS to_ori, min(edge_len) AS edge_len,
+    max(overlap_len) AS overlap_len, max(identity) AS identity
+  FROM edges JOIN ends a ON a.nid = src JOIN ends b ON b.nid = dst WHERE a.u <> b.u GROUP BY 1, 2, 3, 4)"""
+)
+_RINGS = """span AS (SELECT count(*) AS n FROM part),
+have AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
+rings AS (SELECT s, min(p) AS p0, max(p) AS p1, count(*) AS k FROM have GROUP BY s HAVING count(*) > 1),
+turned AS (
+  SELECT (s * n + p0) * 2 AS first, (s * n + p1) * 2 AS last, k FROM rings, span
+  UNION ALL
+  SELECT (s * n + p0) * 2 + 1, (s * n + (SELECT min(p) FROM have h WHERE h.s = rings.s AND h.p > p0)) * 2 + 1, k FROM rings, span)"""
+
 ORACLES.update(
     read_stats=_with(QUALITY) + "SELECT rec_no, name, len, round(CAST(mean_q AS DOUBLE), 4) AS mean_q FROM q",
     read_filter=_with(QUALITY) + "SELECT rec_no, name, len FROM q WHERE len >= 1000 AND mean_q >= CAST(60 AS FLOAT)",
@@ -510,6 +526,9 @@ FROM (SELECT arg_min(qlen, line_no) AS ql, sum(qend - qstart) AS al FROM aln GRO
 WHERE CAST(rec_no * 7919 % 1000 AS DOUBLE) < least(1.0e0, CAST((SELECT sum(len) // 10 FROM docs) AS DOUBLE) * 3.5e0 / CAST((SELECT sum(len) FROM docs) AS DOUBLE)) * 1.0e3""",
     fastq_records=_with(READS, GENOME) + "SELECT id AS rec_no, name, len, md5(seq) AS seq_md5 FROM seqs",
     paf_rows=_with(ALN) + "SELECT * EXCLUDE (line_no) FROM aln",
+    paf_rows_loose=_with(ALN) + """SELECT qname, qstart, qend, tname, nmatch FROM aln
+UNION ALL SELECT name, 0, 0, 'x', 0 FROM reads""",
+    paf_spans=_with(ALN) + "SELECT qname, qlen, qstart, qend FROM aln",
     contig_lengths="SELECT n_chars AS length, count(*) AS n_contigs FROM documents WHERE n_chars > 0 GROUP BY 1",
     n50_by_lang=_n50("lang"),
     n50_overall=_n50(""),
@@ -547,6 +566,7 @@ FROM deepest d LEFT JOIN longest USING (name)""",
     overlap_edges=_with(F1, EDGES) + "SELECT * FROM ovl",
     contained_reads=_with(F1, EDGES) + "SELECT name FROM inside",
     kept_overlaps=_with(F1, EDGES) + "SELECT * FROM kept",
+    stored_overlaps=_with(F1, EDGES) + "SELECT * FROM kept",
     reads_in_overlaps=_with(F1, EDGES)
     + "SELECT count(*) AS n_reads FROM (SELECT qname FROM kept UNION SELECT tname FROM kept)",
     bigraph_edges=_with(F1G) + _NAMED.format("edges"),
@@ -656,6 +676,22 @@ ends AS (SELECT nid, u, CASE WHEN nid = first THEN '+' ELSE '-' END AS ori FROM
     + """SELECT a.u AS from_id, b.u AS to_id, a.ori AS from_ori, b.ori AS to_ori, min(edge_len) AS edge_len,
   max(overlap_len) AS overlap_len, max(identity) AS identity
 FROM edges JOIN ends a ON a.nid = src JOIN ends b ON b.nid = dst WHERE a.u <> b.u GROUP BY 1, 2, 3, 4""",
+    kept_unitig_edges=_with(SUCC, _unitigs("edges"), _LINKS)
+    + """SELECT * FROM ulinks WHERE from_id IN (SELECT unitig_id FROM keepers) AND to_id IN (SELECT unitig_id FROM keepers)""",
+    gfa_links=_with(SUCC, _unitigs("edges"), _LINKS, _RINGS)
+    + """SELECT concat_ws(chr(9), 'L', 'unitig_' || from_id || '_l', from_ori, 'unitig_' || to_id || '_l', to_ori, overlap_len || 'M') AS value
+FROM ulinks
+UNION ALL SELECT concat_ws(chr(9), 'L', 'unitig_' || u || '_c', o, 'unitig_' || u || '_c', o, '0M')
+FROM (SELECT row_number() OVER (ORDER BY first) - 1 AS u FROM turned), (SELECT unnest(['+', '-']) AS o)""",
+    unitig_topology=_with(
+        SUCC, _unitigs("edges"), _RINGS,
+        """tops AS (SELECT unitig_id, max(pos) AS pos FROM members GROUP BY unitig_id),
+lasts AS (SELECT unitig_id, node AS last, next AS onward FROM members JOIN tops USING (unitig_id, pos))""",
+    )
+    + """SELECT first, last, k AS n_members, 'c' AS topology FROM turned
+UNION ALL SELECT first, t.last, n_members, CASE WHEN n_members > 1 AND onward IS NOT NULL AND (onward = first OR EXISTS (
+  SELECT 1 FROM edges e WHERE (e.src = first AND e.dst = onward) OR (e.dst = first AND e.src = onward))) THEN 'c' ELSE 'l' END
+FROM utgs JOIN lasts t USING (unitig_id)""",
     unitig_layout=_with(F1U, LAYOUT) + "SELECT * EXCLUDE (unitig_id) FROM layout",
     assemble_unitigs=_with(F1U, LAYOUT)
     + """SELECT unitig_id, max(utg_end) AS length, any_value(topology) AS topology, any_value(n_members) AS n_members
@@ -671,6 +707,36 @@ FROM layout JOIN utgs USING (unitig_id) GROUP BY unitig_id""",
     + """SELECT unitig_id, c AS chunk, substring(text, c * 10000 + 1, 10000) AS seq
 FROM (SELECT unitig_id, text, unnest(range(0, (length(text) + 9999) // 10000)) AS c FROM whole)""",
     gfa_text=_with(
+        F1CU, LAYOUT, GENOME,
+        """whole AS (
+  SELECT unitig_id, string_agg(CASE WHEN ori = '+' THEN substring(seq, cov_start + 1, utg_end - utg_start)
+    ELSE translate(reverse(substring(seq, cov_end - (utg_end - utg_start) + 1, utg_end - utg_start)), 'ACGT', 'TGCA') END,
+    '' ORDER BY pos) AS text
+  FROM layout JOIN seqs ON name = read GROUP BY unitig_id)""",
+        """sized AS (
+  SELECT unitig_id, 'unitig_' || unitig_id || '_' || any_value(topology) AS u, max(utg_end) AS len
+  FROM layout JOIN utgs USING (unitig_id) GROUP BY unitig_id)""",
+    )
+    + """SELECT 0 AS section, 0 AS a, 0 AS part, 'H' || chr(9) || 'VN:Z:1.0' AS value, false AS open
+UNION ALL SELECT 1, unitig_id, -1, 'S' || chr(9) || u || chr(9), true FROM sized
+UNION ALL SELECT 1, unitig_id, c, substring(text, c * 10000 + 1, 10000), true
+FROM (SELECT unitig_id, text, unnest(range(0, (length(text) + 9999) // 10000)) AS c FROM whole)
+UNION ALL SELECT 1, unitig_id, 4611686018427387904, '', false FROM sized
+UNION ALL SELECT 4, unitig_id, 0, concat_ws(chr(9), 'a', u, utg_start, read || ':' || cov_start || '-' || cov_end, ori, utg_end), false
+FROM layout JOIN sized USING (unitig_id)""",
+    fasta_text=_with(
+        F1CU, LAYOUT, GENOME,
+        """whole AS (
+  SELECT unitig_id, string_agg(CASE WHEN ori = '+' THEN substring(seq, cov_start + 1, utg_end - utg_start)
+    ELSE translate(reverse(substring(seq, cov_end - (utg_end - utg_start) + 1, utg_end - utg_start)), 'ACGT', 'TGCA') END,
+    '' ORDER BY pos) AS text
+  FROM layout JOIN seqs ON name = read GROUP BY unitig_id)""",
+    )
+    + """SELECT unitig_id, -1 AS chunk, '>unitig_' || unitig_id || ' len=' || length(text) || 'bp topology=' || topology AS value
+FROM whole JOIN utgs USING (unitig_id)
+UNION ALL SELECT unitig_id, c, substring(text, c * 10000 + 1, 10000)
+FROM (SELECT unitig_id, text, unnest(range(0, (length(text) + 9999) // 10000)) AS c FROM whole)""",
+    gfa_lengths=_with(
         F1U, LAYOUT,
         """sized AS (
   SELECT unitig_id, 'unitig_' || unitig_id || '_' || any_value(topology) AS u, max(utg_end) AS len
@@ -683,7 +749,8 @@ FROM layout JOIN sized USING (unitig_id)""",
     dot_text=_with(F1G, DEGREES)
     + """SELECT '  "' || node_id || '" [style=filled fillcolor=' || CASE WHEN n_out = 0 THEN 'gray' WHEN n_out = 1 THEN 'black'
   WHEN n_out = 2 THEN 'blue' WHEN n_out <= 5 THEN 'orange' ELSE 'red' END || ' ];' AS value FROM nodes JOIN deg USING (nid)
-UNION ALL SELECT '  "' || a.node_id || '" -> "' || b.node_id || '";' FROM edges JOIN nodes a ON a.nid = src JOIN nodes b ON b.nid = dst""",
+UNION ALL SELECT '  "' || a.node_id || '" -> "' || b.node_id || '";' FROM edges JOIN nodes a ON a.nid = src JOIN nodes b ON b.nid = dst
+UNION ALL SELECT unnest(['digraph overlaps {', '  graph [rankdir=LR, splines=true];', '  node [shape=ellipse, fontsize=10];', '}'])""",
     node_id_parse=_with(F1G)
     + 'SELECT node_id, read, cov_start AS "start", cov_end AS "end", ori, cov_start < cov_end AS valid FROM nodes',
     reverse_complement_reads=_with(READS, GENOME)
@@ -697,6 +764,9 @@ UNION ALL SELECT 4 * nx + 1, item + 1, 4 * o + 1, 1, 2, qty * 1000, round(ident,
 UNION SELECT unnest([item, item + 1]) FROM left6""",
     bridge_support=_with(BRIDGES) + "SELECT * EXCLUDE (identity), round(identity, 6) AS identity FROM support",
     strong_bridges=_with(BRIDGES) + "SELECT * EXCLUDE (identity), round(identity, 6) AS identity FROM strong",
+    bridge_ranks=_with(BRIDGES)
+    + """SELECT * EXCLUDE (identity), round(identity, 6) AS identity,
+  row_number() OVER (ORDER BY support_reads DESC, edge_len DESC, from_node, to_node) - 1 AS rank FROM strong""",
     bridge_edges=_with(
         BRIDGES, PARTG,
         """ends AS (SELECT 'u' || (p_partkey // 16) AS target, max(p_partkey) * 2 AS o, min(p_partkey) * 2 AS i FROM part GROUP BY 1),

@@ -149,6 +149,32 @@ def paf_rows(spark, sf):
     return readers.read_paf(spark, path).drop("line_no")
 
 
+def _paf_text(spark, sf) -> str:
+    """Virtual alignments as PAF text; a row without numbers for each read."""
+    path = f"{shared_dir(spark)}/strandweave-paf-{uuid.uuid4().hex}"
+    names = [n for n, _ in readers.PAF_FIELDS]
+    rows = fx.virtual_alignments(spark, sf).select(F.concat_ws("\t", *names).alias("value"))
+    rows.write.text(path)
+    return path
+
+
+@query
+def paf_rows_loose(spark, sf):
+    """PAF rows of ten fields and more, numbers that do not parse being 0."""
+    path = _paf_text(spark, sf)
+    odd = fx.virtual_reads(spark, sf).select(
+        F.explode(F.array(F.concat_ws("\t", "name", *[F.lit("x")] * 9), F.concat_ws("\t", "name", *[F.lit("1")] * 8))).alias("value")
+    )
+    odd.write.mode("append").text(path)
+    return readers.read_paf(spark, path, "loose").drop("line_no")
+
+
+@query
+def paf_spans(spark, sf):
+    """The fields the size estimate reads."""
+    return readers.read_paf(spark, _paf_text(spark, sf), "spans").drop("line_no")
+
+
 @query
 def contig_lengths(spark, sf):
     """Texts written as FASTA in lines of 60 letters and measured; what is no letter becomes N."""
@@ -259,6 +285,14 @@ def kept_overlaps(spark, sf):
     return _rounded(_filtered(spark, sf).overlaps, "identity")
 
 
+@query
+def stored_overlaps(spark, sf):
+    """Kept overlaps written and read back."""
+    path = f"{shared_dir(spark)}/strandweave-overlaps-{uuid.uuid4().hex}"
+    readers.write_overlaps(_filtered(spark, sf).overlaps, path)
+    return _rounded(readers.read_overlaps(spark, path), "identity")
+
+
 @query
 def reads_in_overlaps(spark, sf):
     return ov.reads_in_overlaps(_filtered(spark, sf).overlaps)
@@ -482,16 +516,90 @@ def assemble_unitigs(spark, sf):
     return done.sizes.join(done.unitigs.unitigs.select("unitig_id", "n_members"), "unitig_id")
 
 
+def _assembled_bases(spark, sf) -> asm.Assembly:
+    return _assembly(spark, sf, P.but(coords="coclip"), table(fx.virtual_sequences(spark, sf), "reads"))
+
+
 @query
 def gfa_text(spark, sf):
+    """All rows of the GFA file, segments with their bases in stretches of 10,000."""
+    done = _assembled_bases(spark, sf)
+    rows = sinks.gfa_lines(done.sizes, done.unitigs.edges, done.layout, done.pieces())
+    return rows.select("section", "a", "part", "value", "open")
+
+
+@query
+def gfa_lengths(spark, sf):
+    """GFA without bases."""
     done = _assembly(spark, sf)
     return sinks.gfa_lines(done.sizes, done.unitigs.edges, done.layout).select("value")
 
 
+@query
+def gfa_links(spark, sf):
+    """Links between the unitigs of the successor graph, and of circular ones to themselves."""
+    lines = []
+    for graph in (fx.successor_graph(spark, sf), fx.ring_graph(spark, sf)):
+        u = ut.compress(graph)
+        sizes = u.unitigs.select("unitig_id", "topology", F.lit(0).cast("bigint").alias("length"))
+        none = spark.createDataFrame(
+            [], "unitig_id long, pos long, read string, cov_start long, cov_end long, ori string, utg_start long, utg_end long"
+        )
+        lines.append(sinks.gfa_lines(sizes, u.edges, none).filter("section in (2, 3)").select("value"))
+    return lines[0].unionByName(lines[1])
+
+
+@query
+def fasta_text(spark, sf):
+    done = _assembled_bases(spark, sf)
+    return sinks.fasta_lines(done.sizes, ut.sequence_chunks(done.pieces()))
+
+
+@query
+def kept_unitig_edges(spark, sf):
+    """Unitig edges after one strand of each pair of twins was dropped."""
+    return ut.drop_twins(ut.compress(fx.successor_graph(spark, sf))).edges
+
+
+@query
+def unitig_topology(spark, sf):
+    """Which unitigs close: those whose last step leads to their first member, or to one that an edge joins with it."""
+    rings, steps = fx.ring_graph(spark, sf), fx.successor_graph(spark, sf)
+    found = []
+    for graph in (rings, steps):
+        u = ut.compress(graph)
+        shape = ut.topologies(u.unitigs, u.members, graph.edges)
+        found.append(u.unitigs.drop("topology").join(shape, "unitig_id").select("first", "last", "n_members", "topology"))
+    return found[0].unionByName(found[1])
+
+
+@query
+def joined_unitigs(spark, sf):
+    """Unitigs before and after completion, where alignments across the middle of the genome are missing."""
+    reads = table(fx.virtual_sequences(spark, sf), "reads")
+    middle = 250 * reads.count()
+    side = fx.virtual_reads(spark, sf).select("name", (F.col("g0") < middle).alias("left"))
+    rows = (
+        fx.virtual_alignments(spark, sf)
+        .join(side.withColumnsRenamed({"name": "qname", "left": "q_left"}), "qname")
+        .join(side.withColumnsRenamed({"name": "tname", "left": "t_left"}), "tname")
+        .filter("q_left = t_left")
+        .drop("q_left", "t_left")
+    )
+    rows, params = table(rows, "halves"), P.but(coords="coclip")
+    found = None
+    for stage in ("before", "after"):
+        done = asm.assemble(reads, rows, params=params.but(completion_enabled=stage == "after"))
+        ends = done.unitigs.unitigs.select("unitig_id", "n_members")
+        part = done.sizes.join(ends, "unitig_id").select(F.lit(stage).alias("stage"), "unitig_id", "n_members", "length")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 @query
 def dot_text(spark, sf):
     graph = _graph(spark, sf)
-    return sinks.dot_lines(graph.nodes, graph.edges).filter("section in (1, 3)").select("value")
+    return sinks.dot_lines(graph.nodes, graph.edges).select("value")
 
 
 @query
@@ -539,6 +647,13 @@ def strong_bridges(spark, sf):
     return _rounded(cp.find_bridges(fx.bridge_alignments(spark, sf), 2000, 0.8), "identity", digits=6)
 
 
+@query
+def bridge_ranks(spark, sf):
+    """Strong bridges in their order."""
+    found = cp.ranked_bridges(cp.find_bridges(fx.bridge_alignments(spark, sf), 2000, 0.8))
+    return _rounded(found, "identity", digits=6)
+
+
 @query
 def bridge_edges(spark, sf):
     """Strong bridges as graph edges; targets map to the first and last part of their group."""
@@ -593,5 +708,5 @@ def coverage_sweep(spark, sf):
     reads = table(fx.virtual_sequences(spark, sf), "reads")
     genome = 500 * reads.count()
     return asm.coverage_sweep(
-        reads, genome, [5, 10], P.but(min_overlap_count=1, min_base_quality=0.0), alignments=_aln(spark, sf)
+        reads, genome, list(range(5, 51, 5)), P.but(min_overlap_count=1, min_base_quality=0.0), alignments=_aln(spark, sf)
     )

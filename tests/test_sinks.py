@@ -26,7 +26,9 @@ def test_gfa_and_fasta(spark, tmp_path):
     graph = small(spark)
     reads = spark.createDataFrame([(f"r{i}", SEQ) for i in range(6)], "name string, seq string")
     done = asm.finish(graph, None, reads, graph.edges)
-    text = [r["value"] for r in sinks.gfa_lines(done.sizes, done.unitigs.edges, done.layout, done.pieces()).orderBy("section", "a", "b").collect()]
+    sinks.write_gfa(str(tmp_path / "gfa"), done.sizes, done.unitigs.edges, done.layout, done.pieces(), width=3)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "gfa").glob("part-*"))).split("\n")
+    assert text.pop() == ""
     assert text[0] == "H\tVN:Z:1.0"
     assert [t.split("\t")[1] for t in text if t[0] == "S"] == ["unitig_0_c", "unitig_2_l"] or len([t for t in text if t[0] == "S"]) == 2
     assert len([t for t in text if t[0] == "L"]) == 2 and all(t.endswith("0M") for t in text if t[0] == "L")
