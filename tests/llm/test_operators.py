@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from strandweave.llm import (
     bpe_prefix,
@@ -374,16 +375,94 @@ def test_html_blocks_and_crf(spark):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got) and got[2].text == ""
 
 
-def test_pipeline(spark, sf):
+def brute_near(rows):
+    """One row of each group of near copies among rows ``(id, text, ...)``."""
+    sets = [shingle_set(r[1]) for r in rows]
+    comp = list(range(len(rows)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                comp[top(i)] = top(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(top(i), []).append(r)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def shingle_set(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_is_brute_force(spark, sf):
     import corpus_pipeline
+    from strandweave.llm import queries
     from strandweave.plans.settle import table
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    source = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [tuple(r) for r in source.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    base = " ".join(f"word{i}" for i in range(80))
+    odd = [(5, base), (900, base + " x"), (900, "quite another text of id 900"), (None, base), (None, base + " x"),
+           (None, None), (901, ""), (901, ""), (902, "token = abcdef1234567890 in a text"), (903, "é " * 3000),
+           (904, rows[0][1]), (904, rows[0][1]), (None, "alone without id")]
+    rows += [(i, t, None, None, None if t is None else len(t)) for i, t in odd]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    for c in ("kept", "digest", "_text_key", "score", "comp", "tree"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    model = queries.toxicity_model(spark, sf)
+    want = [r for r in rows if model.score(r[1]) < 0.3]
+    assert len(want) < len(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    plain = lambda df: Counter(map(tuple, df.select("doc_id", "text").collect()))
     names = docs.columns
-    left = {r.doc_id for r in docs.collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = table(stage(spark, docs, sf), "stage")
-        now = {r.doc_id for r in docs.select("doc_id").collect()}
-        assert now <= left and (name == "best-fit packing" or docs.columns == names)
-        left = now
-    assert left
+
+    docs = table(stages["toxicity"](spark, docs, sf), "toxicity")
+    assert docs.columns == names and plain(docs) == Counter((r[0], r[1]) for r in want)
+
+    texts = {}
+    for r in want:
+        texts.setdefault(r[1] or "", []).append(r)
+    want = [max(g, key=lambda r: (r[0] is not None, r[0] or 0)) for g in texts.values()]
+    docs = table(stages["exact dedup"](spark, docs, sf), "exact")
+    assert docs.columns == names
+    empty = lambda c: Counter({(i, t or ""): n for (i, t), n in c.items()})
+    assert empty(plain(docs)) == empty(Counter((r[0], r[1]) for r in want))
+
+    want = brute_near([(r.doc_id, r.text) for r in docs.collect()])
+    assert (900, "quite another text of id 900") in want and len(want) < docs.count()
+    docs = table(stages["n-gram Jaccard join"](spark, docs, sf), "near")
+    assert docs.columns == names and plain(docs) == Counter(want)
+
+    want = Counter((i, secret_scan._without(t, "[secret]")) for i, t in want)
+    docs = table(stages["secret scans"](spark, docs, sf), "secrets")
+    assert docs.columns == names and plain(docs) == want
+    assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text is not None)
+    assert any("[secret]" in (t or "") for _, t in want)
+
+    packed = table(stages["best-fit packing"](spark, docs, sf), "packed").collect()
+    tokens = Counter()
+    for i, text in want.elements():
+        tokens[i] += len(library_ids(text or "")) + 1
+    assert {i: sum(r.length for r in packed if r.doc_id == i) for i in tokens} == dict(tokens)
+    fill = Counter()
+    for r in packed:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048 and sum(fill.values()) == sum(tokens.values())
+
+
+def test_pipeline_of_nothing(spark, sf):
+    import corpus_pipeline
+    from strandweave.plans.settle import table
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = table(stage(spark, docs, sf), "nothing")
+        assert docs.count() == 0
