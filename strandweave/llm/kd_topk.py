@@ -12,9 +12,9 @@ there is the bar it takes to all others. Only candidates that reach the bar leav
 Components become ``floor(256 * x)``; scores are whole numbers, exact below 2**53. Ties go to the
 smaller id, so equal vectors stay apart. Vectors that are null or hold null or non-finite
 components take no part; vectors of another length than the query score on no candidate list
-of it; those without components score 0 among themselves. A null id takes no part. As in the SQL, each
-row of a repeated id is a candidate, none for a query of its own id, and each is a query, their
-results ranked together. An empty table gives no rows. Other columns are ignored.
+of it; those without components score 0 among themselves. A null id takes no part. Rows are told apart by a number of
+their own: each row of a repeated id is a query with ``k`` results, and a candidate for all rows but
+itself. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from strandweave.plans.settle import settle
 
 _LEAF = 32
 _ROWS = "vec_id bigint, v array<bigint>"
-_FOUND = "query_id bigint, vec_id bigint, score bigint"
+_FOUND = "row bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -50,8 +50,8 @@ def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 class KdTree:
     """Median splits until ``_LEAF`` rows, with the tight box of every node."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        self.numbers, self.ids, self.rows = numbers, ids, rows
         self.low, self.high, self.children, self.member = [], [], [], []
         self._build(np.arange(len(ids)))
         self.low, self.high = np.array(self.low), np.array(self.high)
@@ -78,7 +78,7 @@ class KdTree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
     def best(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, bar: float) -> list[tuple]:
-        """Up to ``k`` of ``(score, id)``, best first; none below ``bar``."""
+        """Up to ``k`` of ``(score, id)``, best first; none below ``bar``, none of the row ``own``."""
         found: list[tuple[float, int]] = []  # heap of (score, -id), the worst on top
         queue = [(-bound[0], 0)]
         while queue:
@@ -94,8 +94,9 @@ class KdTree:
             at = self.member[node]
             scores = self.rows[at] @ query
             near = scores >= worst
-            for score, i in zip(scores[near].tolist(), self.ids[at[near]].tolist(), strict=True):
-                if i == own:
+            own_rows = self.numbers[at[near]].tolist(), self.ids[at[near]].tolist()
+            for score, number, i in zip(scores[near].tolist(), *own_rows, strict=True):
+                if number == own:
                     continue
                 if len(found) < k:
                     heapq.heappush(found, (score, -i))
@@ -105,7 +106,7 @@ class KdTree:
 
 
 def _search(dealt: DataFrame, k: int) -> DataFrame:
-    """``dealt``: ``shard, kind, vec_id, v, bar``, per shard first its vectors (0), then queries (1)."""
+    """``dealt``: ``shard, kind, row, vec_id, v, bar``, per shard first its vectors (0), then queries (1)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -117,38 +118,42 @@ def _search(dealt: DataFrame, k: int) -> DataFrame:
             shards = np.array(batch.column("shard").to_pylist(), dtype=np.int64)
             kinds = np.array(batch.column("kind").to_pylist(), dtype=np.int64)
             ids = np.array(batch.column("vec_id").to_pylist(), dtype=np.int64)
+            numbers = np.array(batch.column("row").to_pylist(), dtype=np.int64)
             bars = batch.column("bar").to_pylist()
             vectors = batch.column("v").to_pylist()
             starts = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1).tolist()]
-            out: tuple[list, list, list] = ([], [], [])
+            out: tuple[list, ...] = ([], [], [], [])
             for a, b in zip(starts, [*starts[1:], len(ids)], strict=True):
                 if a == b:
                     continue
                 if shards[a] != shard:
                     shard, waiting, trees = shards[a], [], None
                 if kinds[a] == 0:
-                    waiting += zip(ids[a:b].tolist(), vectors[a:b], strict=True)
+                    waiting += zip(numbers[a:b].tolist(), ids[a:b].tolist(), vectors[a:b], strict=True)
                     continue
                 if trees is None:
                     trees, waiting = _trees(waiting), []
-                _answer(trees, ids[a:b], vectors[a:b], bars[a:b], k, out)
+                _answer(trees, numbers[a:b], ids[a:b], vectors[a:b], bars[a:b], k, out)
             yield pa.RecordBatch.from_pydict(dict(zip(schema.names, out, strict=True)), schema=schema)
 
     return dealt.mapInArrow(run, _FOUND)
 
 
-def _trees(rows: list[tuple[int, list[int]]]) -> dict[int, KdTree]:
+def _trees(rows: list[tuple[int, int, list[int]]]) -> dict[int, KdTree]:
     """One tree for each vector length."""
     by: dict[int, list] = {}
     for row in rows:
-        by.setdefault(len(row[1]), []).append(row)
+        by.setdefault(len(row[2]), []).append(row)
     return {
-        n: KdTree(np.array([i for i, _ in own]), np.array([v for _, v in own], dtype=float).reshape(len(own), n))
+        n: KdTree(
+            np.array([r[0] for r in own]), np.array([r[1] for r in own]),
+            np.array([r[2] for r in own], dtype=float).reshape(len(own), n),
+        )
         for n, own in by.items()
-    }
+    }
 
 
-def _answer(trees: dict[int, KdTree], ids, vectors, bars, k: int, out, block: int = 256) -> None:
+def _answer(trees: dict[int, KdTree], numbers, ids, vectors, bars, k: int, out, block: int = 256) -> None:
     for a in range(0, len(ids), block):
         lengths = [len(v) for v in vectors[a : a + block]]
         for n in set(lengths) & set(trees):
@@ -157,10 +162,9 @@ def _answer(trees: dict[int, KdTree], ids, vectors, bars, k: int, out, block: in
             bounds = trees[n].bounds(queries)
             for i, query, bound in zip(at, queries, bounds, strict=True):
                 bar = -math.inf if bars[i] is None else bars[i]
-                for score, found in trees[n].best(query, int(ids[i]), bound, k, bar):
-                    out[0].append(int(ids[i]))
-                    out[1].append(found)
-                    out[2].append(int(score))
+                for score, found in trees[n].best(query, int(numbers[i]), bound, k, bar):
+                    for column, value in zip(out, (int(numbers[i]), int(ids[i]), found, int(score))):
+                        column.append(value)
 
 
 def top_k(
@@ -169,35 +173,36 @@ def top_k(
     """``query_id, rank, vec_id, score``: the ``k`` best of all other rows for each row whose id
     ``every`` divides."""
     spark = vectors.sparkSession
-    rows, seen = settle(quantised(vectors, column), "vectors")
+    # the numbers are written with the rows, so they stay
+    rows, seen = settle(quantised(vectors, column).withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(1, math.ceil(seen["rows"] / shard_rows))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("bigint")
+    home = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = rows.select(home.alias("shard"), F.lit(0).alias("kind"), "vec_id", "v").withColumn(
+    points = rows.select(home.alias("shard"), F.lit(0).alias("kind"), "row", "vec_id", "v").withColumn(
         "bar", F.lit(None).cast("bigint")
     )
     queries = rows.filter(F.col("vec_id") % every == 0)
 
     def search(asked: DataFrame) -> DataFrame:
         dealt = points.unionByName(asked).repartition(parts, "shard")
-        return _search(dealt.sortWithinPartitions("shard", "kind", "vec_id"), k)
+        return _search(dealt.sortWithinPartitions("shard", "kind", "vec_id", "row"), k)
 
-    own = queries.select(home.alias("shard"), F.lit(1).alias("kind"), "vec_id", "v").withColumn(
+    own = queries.select(home.alias("shard"), F.lit(1).alias("kind"), "row", "vec_id", "v").withColumn(
         "bar", F.lit(None).cast("bigint")
     )
     first, _ = settle(search(own), "home-shard")
     # the k-th score at home, where there are k; each query has at most k rows here
-    bars = first.groupBy("query_id").agg(
+    bars = first.groupBy("row").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar")
     )
     others = (
-        queries.join(bars, queries["vec_id"] == bars["query_id"], "left")
+        queries.join(bars, "row", "left")
         .withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)")))
         .filter(F.col("shard") != home)
-        .select("shard", F.lit(1).alias("kind"), "vec_id", "v", "bar")
+        .select("shard", F.lit(1).alias("kind"), "row", "vec_id", "v", "bar")
     )
     both = first.unionByName(search(others)) if shards > 1 else first
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return (
         both.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)

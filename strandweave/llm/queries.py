@@ -157,20 +157,20 @@ def _leaf(text: str) -> str:
 SQL: dict[str, str] = {
     "op10_kd_topk": """
         WITH v AS (
-            SELECT vec_id,
+            SELECT vec_id, row_number() OVER () AS n,
                    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         s AS (
-            SELECT a.vec_id AS query_id, b.vec_id,
+            SELECT a.n, a.vec_id AS query_id, b.vec_id,
                    CAST(list_inner_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
-            FROM v a JOIN v b ON a.vec_id <> b.vec_id
+            FROM v a JOIN v b ON a.n <> b.n
             WHERE a.vec_id % 50 = 0
         ),
         r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5

@@ -14,7 +14,7 @@ after its own attempt and returns the index rows, so files of lost or repeated a
 named by no row. Both live in the cluster's shared folder.
 
 Null text counts as empty and gives one end id. Equal ids (and a null ``doc_id``, which comes
-first) keep all their rows, ordered by text. An empty table gives an empty index. Other
+first) keep all their rows, ordered by a hash of the text. An empty table gives an empty index. Other
 columns are ignored.
 """
 
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import filesystem
+from strandweave.llm.common import filesystem, text_key
 from strandweave.llm.wordpieces import encode_slices, encoder
 from strandweave.plans.settle import shared_dir
 
@@ -121,9 +121,9 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | N
             if out is not None:
                 out.close()
 
-    ordered = (
-        docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    )
+    # rows of one id, null ids for example, are ordered by a hash, so that they fill as many tasks as they need
+    order = [F.col("doc_id"), text_key()]
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(write, _INDEX).write.parquet(f"{home}/index")
     return Written(spark.read.schema(_INDEX).parquet(f"{home}/index"), home)
 

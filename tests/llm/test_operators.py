@@ -263,12 +263,14 @@ def test_kd_topk_repeated_ids_and_empty_vectors(spark):
     rows = [(i, [float(x) for x in rng.integers(-3, 4, size=3)]) for i in [*range(150), 0, 0, 7, 50, 100, 100]]
     rows += [(200, rows[0][1]), (200, rows[0][1])] + [(i, []) for i in range(1000, 1100, 2)] + [(1000, [])]
     found = kd_topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), shard_rows=32)
-    pairs = {}
-    for q, a in rows:
+    want = []
+    for x, (q, a) in enumerate(rows):
         if q % 50 == 0:
-            scores = [(-sum(int(256 * x) * int(256 * y) for x, y in zip(a, b)), i) for i, b in rows if i != q and len(a) == len(b)]
-            pairs.setdefault(q, []).extend(scores)
-    want = [(q, n + 1, i, -s) for q, v in pairs.items() for n, (s, i) in enumerate(sorted(v)[:5])]
+            scores = sorted(
+                (-sum(int(256 * u) * int(256 * v) for u, v in zip(a, b)), i)
+                for y, (i, b) in enumerate(rows) if x != y and len(a) == len(b)
+            )
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5])]
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
