@@ -276,6 +276,45 @@ def order_bubbles(spark: SparkSession, sf: str) -> Graph:
     return from_edges(table(steps.unionByName(mirror(steps)), "order-bubbles"))
 
 
+def order_arms(spark: SparkSession, sf: str) -> Graph:
+    """Bubbles with long arms: an order leads through two to five reads for each of its parts to the
+    customer's next order.
+
+    Order ``o`` is read ``16*o``; the arm of its part ``p`` has reads ``16*(o*span + p) + 1`` and on, two of them
+    and ``p % 4`` more.
+    """
+    span = load(spark, sf, "part").count()
+    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = (
+        load(spark, sf, "orders")
+        .select(F.col("o_orderkey").alias("o"), F.lead("o_orderkey").over(by_date).alias("nxt"))
+        .filter("nxt is not null")
+    )
+    items = (
+        load(spark, sf, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"))
+        .agg(
+            F.max(F.floor("l_quantity").cast("bigint")).alias("quantity"),
+            F.max(F.floor("l_extendedprice").cast("bigint")).alias("price"),
+            F.min(F.round(100.0 - 100.0 * F.col("l_discount"), 6)).alias("identity"),
+        )
+    )
+    steps = (
+        items.join(orders, "o")
+        .withColumn("base", ((F.col("o") * span + F.col("p")) * 16 + 1) * 2)
+        .withColumn("size", F.col("p") % 4 + 2)
+        .withColumn("j", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("size") - 1)))
+        .select(
+            F.when(F.col("j") < 0, F.col("o") * 32).otherwise(F.col("base") + 2 * F.col("j")).alias("src"),
+            F.when(F.col("j") == F.col("size") - 1, F.col("nxt") * 32).otherwise(F.col("base") + 2 * (F.col("j") + 1)).alias("dst"),
+            (1 + (F.col("o") * 31 + F.col("p") * 17 + F.col("j")) % 60).alias("edge_len"),
+            F.when(F.col("j") < 0, F.col("quantity") * 1000).otherwise(F.col("price") + 17 * F.col("j")).alias("overlap_len"),
+            (F.col("identity") - F.greatest(F.col("j"), F.lit(0)) * 0.5).alias("identity"),
+        )
+    )
+    return from_edges(table(steps.unionByName(mirror(steps)), "order-arms"))
+
+
 def supplier_intervals(spark: SparkSession, sf: str) -> DataFrame:
     day = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint")
     return load(spark, sf, "lineitem").select(

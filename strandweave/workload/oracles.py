@@ -759,6 +759,38 @@ UNION ALL SELECT unnest(['digraph overlaps {', '  graph [rankdir=LR, splines=tru
     + """SELECT 4 * o AS u, item AS a, 4 * nx AS m, 1 AS depth, 2 AS n_reads, price AS bases, round(ident, 3) AS identity, round(sf, 3) AS score
 FROM parts SEMI JOIN forked USING (o)
 UNION ALL SELECT 4 * nx + 1, item + 1, 4 * o + 1, 1, 2, qty * 1000, round(ident, 3), round(sm, 3) FROM parts SEMI JOIN forked USING (o)""",
+    bubble_arms=_with(
+        """cnt AS (SELECT count(*) AS n FROM part),
+ords AS (
+  SELECT o_orderkey AS o, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx
+  FROM orders),
+items AS (
+  SELECT l_orderkey AS o, l_partkey AS p, max(CAST(floor(l_quantity) AS BIGINT)) AS qty,
+    max(CAST(floor(l_extendedprice) AS BIGINT)) AS price, min(round(100.0 - 100.0 * l_discount, 6)) AS ident
+  FROM lineitem GROUP BY 1, 2),
+arms AS (
+  SELECT ords.o, nx, p, qty, price, CAST(ident AS DOUBLE) AS ident, ((ords.o * n + p) * 16 + 1) * 2 AS base, p % 4 + 2 AS size
+  FROM items JOIN ords USING (o), cnt WHERE nx IS NOT NULL),
+forked AS (SELECT o FROM arms GROUP BY o HAVING count(*) > 1),
+sides AS (
+  SELECT 32 * o AS u, base AS a, 32 * nx AS m, size, qty, price, ident,
+    list_transform(range(size), lambda j: base + 2 * j) AS nodes,
+    list_transform(range(size), lambda j: price + 17 * j) AS ov,
+    list_transform(range(size), lambda j: ident - 0.5 * j) AS id
+  FROM arms SEMI JOIN forked USING (o)
+  UNION ALL
+  SELECT 32 * nx + 1, base + 2 * (size - 1) + 1, 32 * o + 1, size, qty, price, ident,
+    list_transform(range(size), lambda j: base + 2 * (size - 1 - j) + 1),
+    list_transform(range(size), lambda j: CASE WHEN j = size - 1 THEN qty * 1000 ELSE price + 17 * (size - 2 - j) END),
+    list_transform(range(size), lambda j: CASE WHEN j = size - 1 THEN ident ELSE ident - 0.5 * (size - 2 - j) END)
+  FROM arms SEMI JOIN forked USING (o)),
+scored AS (
+  SELECT *, CAST(list_sum(ov) AS BIGINT) AS bases,
+    list_sum(list_transform(list_zip(ov, id), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / list_sum(ov) AS identity
+  FROM sides)"""
+    )
+    + """SELECT u, a, m, size AS depth, size + 1 AS n_reads, bases, round(identity, 3) AS identity,
+  round(bases + identity * 200.0 + (size + 1) * 1.5, 3) AS score, array_to_string(list_append(nodes, m), ' ') AS path FROM scored""",
     bubble_removal=_with(BUBBLED)
     + """SELECT unnest([4 * o, 4 * o + 1]) AS nid FROM parts UNION SELECT unnest([4 * nx, 4 * nx + 1]) FROM parts
 UNION SELECT unnest([item, item + 1]) FROM left6""",

@@ -627,6 +627,13 @@ def bubble_paths(spark, sf):
     )
 
 
+@query
+def bubble_arms(spark, sf):
+    """Paths of two to five steps, with their nodes."""
+    found = bb.bubble_paths(fx.order_arms(spark, sf), P.max_bubble_length)
+    return _rounded(found, "identity", "score", digits=3).withColumn("path", F.array_join("path", " "))
+
+
 @query
 def bubble_removal(spark, sf):
     graph, _ = bb.remove_bubbles(fx.order_bubbles(spark, sf), P.max_bubble_length, P.min_support_ratio)
