@@ -37,7 +37,7 @@ def _place_reads(part: DataFrame, n: int) -> DataFrame:
 
 
 def virtual_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs sharing at least 500 bases, and two kinds of false alignments."""
+    """Pairs sharing at least 500 bases, two kinds of false alignments, and reads aligned to themselves."""
     part = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     n = part.count()
     reads = _place_reads(part, n).withColumn("g1", F.col("g0") + F.col("len"))
@@ -97,6 +97,14 @@ def virtual_alignments(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("+").alias("strand"), big(2000).alias("block_len"), big(1700).alias("nmatch"),
         )
     )
+    # a read of which its first 2000 bases align to themselves
+    alone = side("a").filter("a_id % 50 = 3").select(
+        big(3).alias("kind"), "a_id", c("a_id").alias("b_id"), "a_name", "a_len",
+        c("a_name").alias("b_name"), c("a_len").alias("b_len"),
+        big(0).alias("qstart"), big(2000).alias("qend"), big(0).alias("tstart"), big(2000).alias("tend"),
+        F.lit("+").alias("strand"), big(2000).alias("block_len"), big(2000).alias("nmatch"),
+    )
+    rows = rows.unionByName(alone)
     return rows.select(
         # an order-preserving number instead of a rank: (kind, a, b) packed
         ((F.col("kind") * n + F.col("a_id")) * n + F.col("b_id")).alias("line_no"),
@@ -160,6 +168,27 @@ def text_reads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# fixed values: bases by letter, in both cases; other signs have none
+_ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASES = "ACGTACGTACGTACGTACGTACGTAC" * 2
+
+
+def text_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """``reads(rec_no, name, header, seq, plus, qual)`` of the whole texts, their letters read as bases.
+
+    Every third read's qualities are all ``@``, the sign that headers begin with.
+    """
+    bases = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _ALPHABET, _BASES), "[^ACGT]", "")
+    return (
+        load(spark, sf, "documents")
+        .select(F.col("doc_id").alias("rec_no"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), bases.alias("seq"))
+        .select(
+            "rec_no", "name", F.concat(F.lit("@"), "name", F.lit(" text")).alias("header"), "seq", F.lit("+").alias("plus"),
+            F.expr("repeat(if(rec_no % 3 = 0, '@', 'I'), length(seq))").alias("qual"),
+        )
+    )
+
+
 def _pair_length(src: str, dst: str):
     return (1 + (F.col(src) * 31 + F.col(dst) * 17) % 60).alias("edge_len")
 

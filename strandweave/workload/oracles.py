@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strandweave.functions.sequence import single
+from strandweave.workload.fixtures import _ALPHABET, _BASES
 
 ORACLES: dict[str, str] = {}
 
@@ -44,7 +45,9 @@ spots AS (
   SELECT 1, a, b, alen - 2000, alen, 0, 2000, '+', 2000, 1700 FROM across WHERE a % 20 = 0
   UNION ALL
   SELECT 2, a, b, 2000, 4000, 2000, 4000, '+', 2000, 1700 FROM across
-  WHERE a % 20 = 7 AND alen >= 6000 AND blen >= 6000),
+  WHERE a % 20 = 7 AND alen >= 6000 AND blen >= 6000
+  UNION ALL
+  SELECT 3, id, id, 0, 2000, 0, 2000, '+', 2000, 2000 FROM reads WHERE id % 50 = 3),
 aln AS (
   SELECT (kind * n + a) * n + b AS line_no, ra.name AS qname, ra.len AS qlen, qstart, qend, strand,
          rb.name AS tname, rb.len AS tlen, tstart, tend, nmatch, block_len, CAST(60 AS SMALLINT) AS mapq
@@ -526,6 +529,11 @@ FROM (SELECT arg_min(qlen, line_no) AS ql, sum(qend - qstart) AS al FROM aln GRO
 WHERE CAST(rec_no * 7919 % 1000 AS DOUBLE) < least(1.0e0, CAST((SELECT sum(len) // 10 FROM docs) AS DOUBLE) * 3.5e0 / CAST((SELECT sum(len) FROM docs) AS DOUBLE)) * 1.0e3""",
     fastq_records=_with(READS, GENOME) + "SELECT id AS rec_no, name, len, md5(seq) AS seq_md5 FROM seqs",
     paf_rows=_with(ALN) + "SELECT * EXCLUDE (line_no) FROM aln",
+    fastq_texts=f"""SELECT name, length(seq) AS len, md5(seq) AS seq_md5, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS rc_md5,
+  CASE WHEN seq = '' THEN '' WHEN rec % 3 = 0 THEN '@' ELSE 'I' END AS first_qual
+FROM (SELECT doc_id AS rec, 'd' || doc_id AS name,
+  regexp_replace(translate(coalesce(text, ''), '{_ALPHABET}', '{_BASES}'), '[^ACGT]', '', 'g') AS seq FROM documents)""",
+    last_sequences="SELECT source AS name, md5(arg_max(text, doc_id)) AS seq_md5 FROM documents GROUP BY source",
     paf_rows_loose=_with(ALN) + """SELECT qname, qstart, qend, tname, nmatch FROM aln
 UNION ALL SELECT name, 0, 0, 'x', 0 FROM reads""",
     paf_spans=_with(ALN) + "SELECT qname, qlen, qstart, qend FROM aln",

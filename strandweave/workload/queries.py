@@ -149,6 +149,25 @@ def paf_rows(spark, sf):
     return readers.read_paf(spark, path).drop("line_no")
 
 
+@query
+def fastq_texts(spark, sf):
+    """Whole texts as reads, written as FASTQ and read back in ranges of 64 KB."""
+    path = f"{shared_dir(spark)}/strandweave-fastq-{uuid.uuid4().hex}"
+    sinks.write_fastq(fx.text_sequences(spark, sf), path)
+    back = readers.read_fastq(spark, path, range_bytes=1 << 16)
+    return back.select(
+        "name", F.length("seq").cast("bigint").alias("len"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"),
+        F.md5(reverse_complement(F.col("seq")).cast("binary")).alias("rc_md5"), F.left("qual", F.lit(1)).alias("first_qual"),
+    )
+
+
+@query
+def last_sequences(spark, sf):
+    """Of all texts under the name of a source, the last one."""
+    reads = fx.load(spark, sf, "documents").select(F.col("source").alias("name"), F.col("doc_id").alias("rec_no"), F.col("text").alias("seq"))
+    return readers.sequences_by_name(reads).select("name", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
 def _paf_text(spark, sf) -> str:
     """Virtual alignments as PAF text; a row without numbers for each read."""
     path = f"{shared_dir(spark)}/strandweave-paf-{uuid.uuid4().hex}"
