@@ -29,7 +29,7 @@ _ROWS = 20_000
 _HIDDEN = ("_", ".")
 
 _SCHEMAS = {
-    "counts": "file string, start bigint, stop bigint, n_lines bigint, n_headers bigint",
+    "counts": "text string, file string, start bigint, stop bigint, n_lines bigint, n_headers bigint",
     "lines": "file string, line_no bigint, value string",
     "records": "file string, rec bigint, header string, seq string, plus string, qual string",
     "contigs": "file string, contig bigint, length bigint",
@@ -39,13 +39,15 @@ _TYPES = {"string": pa.string(), "bigint": pa.int64()}
 
 @dataclass(frozen=True)
 class Range(InputPartition):
-    """Bytes ``start`` to ``stop`` of a file, with the lines and headers that begin before."""
+    """Bytes ``start`` to ``stop`` of a file, with the lines and headers that begin before, and the path (a file or the
+    folder of its parts) it was found by."""
 
     file: str
     start: int
     stop: int
     line: int = 0
     header: int = 0
+    text: str = ""
 
 
 def _opened(file: str):
@@ -147,17 +149,18 @@ def _records(part: Range) -> Iterator[tuple]:
 
 
 def _contigs(part: Range) -> Iterator[tuple]:
-    """Bases of each contig in the lines of the range; a contig may go on in the next range."""
+    """Bases of each contig in the lines of the range; a contig may go on in the next range. Bases before a file's first
+    header have contig 0."""
     contig, length = part.header, 0
     for line in _own_lines(part):
         line = line.strip()
         if line.startswith(b">"):
-            if length and contig:
+            if length:
                 yield part.file, contig, length
             contig, length = contig + 1, 0
         else:
             length += len(line.decode())
-    if length and contig:
+    if length:
         yield part.file, contig, length
 
 
@@ -166,7 +169,7 @@ def _counts(part: Range) -> Iterator[tuple]:
     for line in _own_lines(part):
         n += 1
         headers += line.lstrip().startswith(b">")
-    yield part.file, part.start, part.stop, n, headers
+    yield part.text, part.file, part.start, part.stop, n, headers
 
 
 def _lines(part: Range) -> Iterator[tuple]:
@@ -190,7 +193,7 @@ class RangeReader(DataSourceReader):
         found = []
         for path in self.options["paths"].split("\n"):
             for file, length in _files(path):
-                found += [Range(file, a, min(a + size, length)) for a in range(0, length, size)]
+                found += [Range(file, a, min(a + size, length), text=path) for a in range(0, length, size)]
         return found or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -231,8 +234,8 @@ def read_ranges(
     spark: SparkSession, path: str | list[str], kind: str, range_bytes: int = RANGE_BYTES
 ) -> tuple[DataFrame, DataFrame]:
     """``lines (file, line_no, value)``, ``records (file, rec, header, seq, plus, qual)`` or ``contigs (file, contig,
-    length)`` of text files, and the counts ``(file, start, n_lines)`` of their ranges. Numbers count from 0 in each
-    file, contigs from 1; a contig can have a row for each range.
+    length)`` of text files, and the counts ``(text, file, start, n_lines, n_headers)`` of their ranges. Numbers count from
+    0 in each file, contigs from 1; a contig can have a row for each range. ``text`` is the given path a file belongs to.
 
     The counts are written to the session's shared folder, where the second pass finds them.
     """
@@ -241,8 +244,8 @@ def read_ranges(
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = f"{shared_dir(spark)}/strandweave-ranges-{uuid.uuid4().hex}"
     counts.select(
-        "file", "start", "stop", "n_lines",
+        "text", "file", "start", "stop", "n_lines", "n_headers",
         F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("line"),
         F.coalesce(F.sum("n_headers").over(before), F.lit(0)).alias("header"),
     ).write.parquet(ranges)
-    return _read(spark, kind, ranges=ranges), spark.read.parquet(ranges).select("file", "start", "n_lines")
+    return _read(spark, kind, ranges=ranges), spark.read.parquet(ranges).select("text", "file", "start", "n_lines", "n_headers")

@@ -84,6 +84,18 @@ def test_contigs_over_ranges(spark, tmp_path, size):
     assert sorted((r.contig, r.length) for r in got) == want
 
 
+@pytest.mark.parametrize("size", [5, 64, 1 << 20])
+def test_contigs_over_part_files(spark, tmp_path, size):
+    parts = ["AC\n", "GT\n>a\nACGT\nAC\n", "GGG\n", "TT\n>b\n>c\nA\n", "CC\n>d\n", "A" * 70 + "\n"]
+    for i, text in enumerate(parts):
+        (tmp_path / f"part-{i:05d}.txt").write_text(text)
+    got = readers.contig_lengths(spark, str(tmp_path), range_bytes=size).collect()
+    assert sorted((r.file[-9:-4], r.contig, r.length) for r in got) == [("00001", 1, 11), ("00003", 2, 3), ("00004", 1, 70)]
+    # files named one by one are texts of their own
+    alone = readers.contig_lengths(spark, [str(p) for p in sorted(tmp_path.glob("part-*"))], range_bytes=size).collect()
+    assert sorted((r.file[-9:-4], r.contig, r.length) for r in alone) == [("00001", 1, 6), ("00003", 2, 1)]
+
+
 def test_paf_line_numbers(spark, tmp_path):
     row = "q\t10\t0\t9\t+\tt\t10\t0\t9\t8\t9\t60"
     (tmp_path / "a.paf").write_text("# note\n\n" + row + "\nbad\n" + row.replace("q", "p") + "\tx\n")
