@@ -25,6 +25,10 @@ from strandweave.plans.settle import shared_dir
 
 RANGE_BYTES = 128 << 20
 _CHUNK = 4 << 20
+_LEAST_CHUNK = 64 << 10
+# small ranges are read together by one task: enough tasks for a cluster, but none that has next to nothing to read
+_TASKS = 64
+_TASK_BYTES = 1 << 20, 32 << 20
 _ROWS = 20_000
 _HIDDEN = ("_", ".")
 
@@ -50,6 +54,27 @@ class Range(InputPartition):
     text: str = ""
 
 
+@dataclass(frozen=True)
+class Ranges(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: tuple[Range, ...]
+
+
+def _together(ranges: list[Range]) -> list[Ranges]:
+    """Neighbouring ranges in tasks of at least some bytes; a larger range has its own task."""
+    least, most = _TASK_BYTES
+    wanted = min(max(sum(r.stop - r.start for r in ranges) // _TASKS, least), most)
+    tasks, held, size = [], [], 0
+    for part in ranges:
+        held.append(part)
+        size += part.stop - part.start
+        if size >= wanted:
+            tasks.append(Ranges(tuple(held)))
+            held, size = [], 0
+    return [*tasks, Ranges(tuple(held))] if held or not tasks else tasks
+
+
 def _opened(file: str):
     system, path = pafs.FileSystem.from_uri(file)
     return system.open_input_file(path)
@@ -78,11 +103,13 @@ def lines_from(part: Range) -> Iterator[bytes]:
 
     The first yield of a line that begins behind the range is preceded by a None.
     """
+    # a small range reads no more than about its own bytes
+    step = min(max(part.stop - part.start + 1, _LEAST_CHUNK), _CHUNK)
     with _opened(part.file) as f:
         size = f.size()
         at = max(part.start - 1, 0)
         f.seek(at)
-        data, place = f.read(_CHUNK), at  # ``place`` is the offset of data[0]
+        data, place = f.read(step), at  # ``place`` is the offset of data[0]
         cursor = 0
         if part.start > 0:  # the rest of a line that began before
             while True:
@@ -91,7 +118,7 @@ def lines_from(part: Range) -> Iterator[bytes]:
                     cursor = end + 1
                     break
                 place += len(data)
-                data, cursor = f.read(_CHUNK), 0
+                data, cursor = f.read(step), 0
                 if not data:
                     return
         told = False
@@ -104,7 +131,7 @@ def lines_from(part: Range) -> Iterator[bytes]:
                 parts = [data[cursor:]]
                 while end < 0:
                     place += len(data)
-                    data, cursor = f.read(_CHUNK), 0
+                    data, cursor = f.read(step), 0
                     if not data:
                         break
                     end = data.find(b"\n")
@@ -184,24 +211,25 @@ class RangeReader(DataSourceReader):
     def __init__(self, kind: str, options: dict) -> None:
         self.kind, self.options = kind, dict(options)
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         if self.kind != "counts":
             system, path = pafs.FileSystem.from_uri(_qualified(self.options["ranges"]))
             rows = pq.read_table(path, filesystem=system).to_pylist()
-            return [Range(r["file"], r["start"], r["stop"], r["line"], r["header"]) for r in rows] or [Range("", 0, 0)]
+            rows.sort(key=lambda r: (r["file"], r["start"]))
+            return _together([Range(r["file"], r["start"], r["stop"], r["line"], r["header"]) for r in rows])
         size = int(self.options.get("rangebytes", RANGE_BYTES))
         found = []
         for path in self.options["paths"].split("\n"):
             for file, length in _files(path):
                 found += [Range(file, a, min(a + size, length), text=path) for a in range(0, length, size)]
-        return found or [Range("", 0, 0)]
+        return _together(found)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fields = [f.split() for f in _SCHEMAS[self.kind].split(", ")]
         schema = pa.schema([(n, _TYPES[t]) for n, t in fields])
         rows: list[tuple] = []
         held = 0
-        for row in _READ[self.kind](partition) if partition.file else ():
+        for row in (row for part in partition.ranges for row in _READ[self.kind](part)):
             rows.append(row)
             held += sum(len(v) for v in row if isinstance(v, str))
             if len(rows) == _ROWS or held > 4 * _CHUNK:

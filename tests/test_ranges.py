@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.sources import readers
-from strandweave.sources.ranges import Range, lines_from, read_ranges
+from strandweave.sources.ranges import Range, RangeReader, lines_from, read_ranges
 from strandweave.sources.writer import write_stretches
 
 
@@ -63,6 +63,17 @@ def test_no_text_is_shuffled(spark, tmp_path):
     assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    lines, text = fastq(random.Random(2), 4000)
+    (tmp_path / "a.fq").write_text(text)
+    tasks = RangeReader("counts", {"paths": str(tmp_path), "rangebytes": "64"}).partitions()
+    ranges = [r for task in tasks for r in task.ranges]
+    assert len(tasks) == 1 and len(ranges) == -(-len(text) // 64)
+    assert [(r.start, r.stop) for r in ranges] == [(a, min(a + 64, len(text))) for a in range(0, len(text), 64)]
+    records, _ = read_ranges(spark, str(tmp_path), "records", 64)
+    assert records.rdd.getNumPartitions() == 1 and records.count() == 4000
+
+
 def test_malformed_records(spark, tmp_path):
     (tmp_path / "a.fq").write_text("@a\nAC\n+\nII\nb\nAC\n+\nII\n")
     with pytest.raises(Exception, match="malformed FASTQ record: b"):
