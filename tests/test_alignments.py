@@ -49,6 +49,21 @@ def test_depth_matches_counting_across_blocks(spark):
     assert got == counts
 
 
+def test_tasks_do_not_grow_with_the_input(spark):
+    def widest(n):
+        rows = spark.range(n).select(F.format_string("r%d", F.col("id") % (n // 4)).alias("name"), F.col("id").alias("start"))
+        depth = al.interval_depth(rows.withColumn("end", F.col("start") + 10))
+        return depth.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        few, many = widest(100_000), widest(800_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert many[0] > few[0] and many[1] < 4 * few[1]
+
+
 def test_prefix_sum_and_index(spark):
     rows = [("k", p, v) for p, v in zip(range(0, 4000, 7), range(1000))]
     df = spark.createDataFrame(rows, "k string, pos bigint, v bigint")
