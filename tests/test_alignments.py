@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.functions.sequence import node_id_parts, reverse_complement
+from strandweave.functions.sequence import node_id_parts, phred_sums, reverse_complement
 from strandweave.operators import alignments as al
 from strandweave.operators import completion as cp
 from strandweave.operators import overlaps as ov
@@ -49,6 +51,21 @@ def test_depth_matches_counting_across_blocks(spark):
     assert got == counts
 
 
+def test_phred_sums_stay_small():
+    rng = random.Random(4)
+    rows = ["".join(chr(rng.randint(20, 126)) for _ in range(n)) for n in (0, 5, 0, 0, 300, 1, 0)] + ["é\u4e00", ""]
+    want = [sum(max(b - 33, 0) for b in r.encode()) for r in rows]
+    assert phred_sums(pa.array(rows)).to_pylist() == want
+    assert phred_sums(pa.array(rows)[3:8]).to_pylist() == want[3:8]
+    assert phred_sums(pa.array([], pa.string())).to_pylist() == []
+    long = pa.array(["I" * 1_000_000] * 20)
+    tracemalloc.start()
+    assert phred_sums(long).to_pylist() == [40_000_000] * 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * long.nbytes
+
+
 def test_tasks_do_not_grow_with_the_input(spark):
     def widest(n):
         rows = spark.range(n).select(F.format_string("r%d", F.col("id") % (n // 4)).alias("name"), F.col("id").alias("start"))
