@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import (
     components_by_hand, edges_df, graph_of, nids, pairs, random_rows, symmetric, transitive_by_hand, unitigs_by_hand,
 )
+from strandweave.operators import chains as ch
 from strandweave.operators import components as cc
 from strandweave.operators import graph as gr
 from strandweave.operators import heuristics as hs
@@ -124,6 +127,49 @@ def test_unitigs_match_walks(spark, seed):
     assert got == unitigs_by_hand(rows)
 
 
+@pytest.mark.parametrize("seed,near", [(0, False), (1, True), (2, False)])
+def test_chains_over_stretches(spark, seed, near):
+    rng, rows, want, at = random.Random(seed), [], [], 0
+    for size in [2, 3, 40, 5, 60, 2, 30, 90]:
+        ids = list(range(at, at + size)) if near else rng.sample(range(at * 10, at * 10 + 5000), size)
+        at += 1000
+        ring = size % 3 == 0
+        if ring:
+            k = ids.index(min(ids))
+            ids = ids[k:] + ids[:k]
+        offset = 0
+        for i, x in enumerate(ids):
+            want.append((x, ids[0], i, offset, ring))
+            if ring or i + 1 < size:
+                rows.append((x, ids[(i + 1) % size], rng.randint(1, 60), 100, 90.0))
+                offset += rows[-1][2]
+    rng.shuffle(rows)
+    graph = graph_of(spark, rows, [10**6])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ch.chain_table(graph, stretch=20).nodes.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(tuple(r) for r in got) == sorted([*want, (10**6, 10**6, 0, 0, False)])
+
+
+def test_neighbouring_nodes_need_no_rounds(spark, monkeypatch):
+    rows = [(i, (i + 1) % 1000, 1, 100, 90.0) for i in range(1000)]
+    graph, written = graph_of(spark, rows), []
+    plain = ch.settle
+
+    def counted(df, label, **metrics):
+        done, seen = plain(df, label, **metrics)
+        written.append(seen["rows"])
+        return done, seen
+
+    monkeypatch.setattr(ch, "settle", counted)
+    nodes = ch.chain_table(graph).nodes
+    assert nodes.filter("cyclic and head = 0 and pos = nid and offset = nid").count() == 1000
+    assert sum(written) < 1000
+
+
 def test_cycle_of_four(spark):
     rows = symmetric([(A, B, 1, 9, 90), (B, C, 2, 9, 90), (C, D, 3, 9, 90), (D, A, 4, 9, 90)])
     found = ut.compress(graph_of(spark, rows))
