@@ -95,6 +95,26 @@ def test_long_path_is_one_component(spark):
     assert got == components_by_hand(rows)
 
 
+def test_bubble_chains_are_not_rewritten(spark, monkeypatch):
+    rows = []
+    for i, o in enumerate(random.Random(1).sample(range(1, 200), 150)):
+        if i:
+            rows += [(last * 2, 10_000 + 20 * i + k * 2, 1, 1, 1.0) for k in range(8)]
+            rows += [(10_000 + 20 * i + k * 2, o * 2, 1, 1, 1.0) for k in range(8)]
+        last = o
+    written, plain = [], cc.settle
+
+    def counted(df, label, **metrics):
+        done, seen = plain(df, label, **metrics)
+        written.append(seen["rows"])
+        return done, seen
+
+    monkeypatch.setattr(cc, "settle", counted)
+    got = {r["nid"]: r["comp"] for r in cc.components(graph_of(spark, rows)).collect()}
+    assert got == components_by_hand(rows) and len(set(got.values())) == 1
+    assert sum(written) < 2.5 * len(rows)
+
+
 def test_tips(spark):
     # t -> x where x has two in-edges
     branching = symmetric([(A, X, 5, 100, 90), (B, X, 5, 100, 90), (X, C, 5, 100, 90)])
