@@ -217,3 +217,24 @@ def test_twin_links_can_be_folded(spark):
     links = {(r["from_id"], r["to_id"]) for r in folded.edges.collect()}
     assert links and all(a in kept and b in kept for a, b in links)
     assert {(r["from_id"], r["to_id"]) for r in plain.edges.collect()} <= links
+
+
+@pytest.mark.parametrize("light", [3, 256])
+def test_two_hops_that_nothing_closes_are_not_shuffled(spark, monkeypatch, light):
+    monkeypatch.setattr(red, "_LIGHT", light)
+    rng = random.Random(light)
+    steps = {(rng.randrange(400), rng.randrange(400)) for _ in range(6000)} | {(0, i) for i in range(1, 400)}
+    out = {(a, b): 1 + (a * 31 + b * 17) % 60 for a, b in steps if a != b}
+    edges = spark.createDataFrame([(a, b, n) for (a, b), n in out.items()], "src bigint, dst bigint, edge_len bigint")
+    after = {}
+    for a, b in out:
+        after.setdefault(a, []).append(b)
+    want = {(a, b, c, n, out[b, c], out[a, c]) for (a, b), n in out.items() for c in after.get(b, []) if (a, c) in out}
+    got = [tuple(r) for r in red.closed_two_hops(edges).collect()]
+    assert len(got) == len(want) and set(got) == want
+    directed = red._directed(edges)
+    ahead = directed.select(F.col("lo").alias("hi"), F.col("hi").alias("z"))
+    hops = directed.select("lo", "hi").join(ahead, "hi")
+    closed = hops.join(directed.select("lo", F.col("hi").alias("z")), ["lo", "z"]).count()
+    corners = red._corners(directed).count()
+    assert closed <= corners < closed + 0.15 * (hops.count() - closed)
