@@ -5,7 +5,8 @@ range; their sums say which line begins first in a range, and so, for records of
 first record begins, whatever letters the lines begin with. A range is read from there and beyond its end until its last record is
 whole. Only one row for each range passes between the tasks.
 
-Files are opened by ``pyarrow.fs`` (local, HDFS, S3, GCS) and must not be compressed.
+Files are opened by ``pyarrow.fs`` (local, HDFS, S3, GCS). A compressed file (``.gz``, ``.bz2``, ``.zst``) is one range, read from its
+beginning, so it should be one of many parts.
 """
 
 from __future__ import annotations
@@ -80,6 +81,25 @@ def _opened(file: str):
     return system.open_input_file(path)
 
 
+def _compressed(file: str) -> bool:
+    return file.endswith((".gz", ".bz2", ".zst"))
+
+
+def _unzipped_lines(file: str) -> Iterator[bytes]:
+    system, path = pafs.FileSystem.from_uri(file)
+    with system.open_input_stream(path, compression="detect") as f:
+        held: list[bytes] = []
+        while data := f.read(_CHUNK):
+            first, *more = data.split(b"\n")
+            held.append(first)
+            if more:
+                for line in (b"".join(held), *more[:-1]):
+                    yield line[:-1] if line.endswith(b"\r") else line
+                held = more[-1:]
+        if line := b"".join(held):
+            yield line[:-1] if line.endswith(b"\r") else line
+
+
 def _qualified(path: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
@@ -103,6 +123,9 @@ def lines_from(part: Range) -> Iterator[bytes]:
 
     The first yield of a line that begins behind the range is preceded by a None.
     """
+    if _compressed(part.file):
+        yield from _unzipped_lines(part.file)
+        return
     # a small range reads no more than about its own bytes
     step = min(max(part.stop - part.start + 1, _LEAST_CHUNK), _CHUNK)
     with _opened(part.file) as f:
@@ -221,7 +244,8 @@ class RangeReader(DataSourceReader):
         found = []
         for path in self.options["paths"].split("\n"):
             for file, length in _files(path):
-                found += [Range(file, a, min(a + size, length), text=path) for a in range(0, length, size)]
+                step = max(length, 1) if _compressed(file) else size
+                found += [Range(file, a, min(a + step, length), text=path) for a in range(0, length, step)]
         return _together(found)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:

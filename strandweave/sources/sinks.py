@@ -3,6 +3,9 @@ order, are the file; no task holds more than its own stretch, not of a line eith
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from strandweave.sources.writer import write_stretches
 # fixed values: node colours by out-degree
 _COLOURS = [(0, "gray"), (1, "black"), (2, "blue"), (5, "orange")]
 _COLOUR_ABOVE = "red"
+_HELD = 4 << 20  # bytes of text that a batch holds
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
@@ -19,12 +23,38 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
 
 
+def _zipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        texts = [v.encode() for v in batch.column("value").to_pylist()]
+        columns = [batch.column("rec_no"), pa.array([len(t) for t in texts], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["rec_no", "size", "data"])
+
+
+def _unzipped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts, held = [], 0
+        for size, data in zip(batch.column("size").to_pylist(), batch.column("data").to_pylist()):
+            texts.append(codec.decompress(data, size, asbytes=True).decode() if size else "")
+            held += size
+            if held > _HELD:
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+                texts, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+
 def fastq_lines(reads: DataFrame) -> DataFrame:
     return reads.select("rec_no", F.concat_ws("\n", "header", "seq", "plus", "qual").alias("value"))
 
 
-def write_fastq(reads: DataFrame, path: str) -> None:
-    write_lines(fastq_lines(reads), path, ["rec_no"])
+def write_fastq(reads: DataFrame, path: str, compressed: bool = False) -> None:
+    """Records in the order of ``rec_no``; ``compressed`` part files are gzip. Records are shuffled compressed either way."""
+    packed = fastq_lines(reads).mapInArrow(_zipped, "rec_no bigint, size bigint, data binary")
+    ordered = packed.repartitionByRange("rec_no").sortWithinPartitions("rec_no").select("size", "data")
+    # the fast level: bases have two bits each, which more effort does not make fewer
+    options = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"} if compressed else {}
+    ordered.mapInArrow(_unzipped, "value string").write.options(**options).text(path)
 
 
 def fasta_lines(sizes: DataFrame, chunks: DataFrame) -> DataFrame:
