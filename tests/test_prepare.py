@@ -22,7 +22,7 @@ def plainly(reads, stats, params):
         before, factor = bases, factor + 1
 
 
-@pytest.mark.parametrize("coverage", [1.2, 50.0])
+@pytest.mark.parametrize("coverage", [1.8, 50.0])
 def test_rounds_share_their_overlaps(spark, sf, monkeypatch, coverage):
     reads = table(fx.virtual_sequences(spark, sf).filter("rec_no % 2 = 0"), "reads")
     stats = table(rd.read_stats(reads), "stats")
